@@ -38,7 +38,10 @@ LINES = {"line": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "print": pa.int
 
 
 def lines_of(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """For every line with a word: the text it is in, and LINES: its number there, 128 bits of hash of its normal form, its fingerprint (of words)."""
+    """For every line with a word: the text it is in, and LINES: its number there, 128 bits of hash of its normal form, its fingerprint.
+
+    A fingerprint is made of a line's different words, so that one that comes again and again, such as a bullet, doesn't decide it.
+    """
     low = [t.lower().encode() for t in texts]
     raw = np.frombuffer(b"".join(low), np.uint8)
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in low])))
@@ -51,7 +54,12 @@ def lines_of(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     first = np.concatenate(([True], (text[1:] != text[:-1]) | (number[1:] != number[:-1]))) if len(h) else np.empty(0, bool)
     a = np.flatnonzero(first)
     b = np.append(a[1:], len(h))
-    return text[a], {"line": number[a].astype(np.int32), "h1": span_hashes(prefix_sums(h), a, b).view(np.int64), "h2": span_hashes(prefix_sums(mix(h ^ np.uint64(0x94D049BB133111EB))), a, b).view(np.int64), "print": majority(h, a, b).view(np.int64)}
+    which = np.repeat(np.arange(len(a)), b - a)
+    order = np.lexsort((h, which))
+    sorted_h, which = h[order], which[order]
+    once = np.concatenate(([True], (sorted_h[1:] != sorted_h[:-1]) | (which[1:] != which[:-1]))) if len(h) else np.empty(0, bool)
+    to = np.searchsorted(which[once], np.arange(len(a) + 1))
+    return text[a], {"line": number[a].astype(np.int32), "h1": span_hashes(prefix_sums(h), a, b).view(np.int64), "h2": span_hashes(prefix_sums(mix(h ^ np.uint64(0x94D049BB133111EB))), a, b).view(np.int64), "print": majority(sorted_h[once], to[:-1], to[1:]).view(np.int64)}
 
 
 def within(a: str, b: str, most: int) -> bool:
