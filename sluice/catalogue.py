@@ -228,13 +228,13 @@ def group_by_partition(spark, sf_dir):
 
 @query("SELECT partition_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1 + 1) % 4 AS partition_id FROM events) GROUP BY 1")
 def shuffle_partition(spark, sf_dir):
-    dealt = part.shuffle_partition(events(spark, sf_dir, "event_id"), 4, ["event_id"], F.expr("event_id div 4096"))
+    dealt = part.shuffle_partition(events(spark, sf_dir, "event_id"), 4, ["event_id"], F.col("event_id"))
     return dealt.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT count(*) AS n, 5::BIGINT AS partitions, true AS even FROM events")
 def shuffle_grouping(spark, sf_dir):
-    dealt = part.shuffle_grouping_partition(events(spark, sf_dir, "event_id"), 5, ["event_id"], F.expr("event_id div 4096"))
+    dealt = part.shuffle_grouping_partition(events(spark, sf_dir, "event_id"), 5, ["event_id"], F.col("event_id"))
     counts = dealt.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partitions"), (F.max("n") - F.min("n") <= 1).alias("even"))
 

@@ -44,13 +44,17 @@ def letters(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-def numbered(df: DataFrame, order: list[str], chunk: Column, as_: str = "row") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], index: Column, as_: str = "row", size: int = 4096) -> DataFrame:
     """df with a global row number (from 0) by ``order``, without sorting everything in one task.
 
-    ``chunk`` must not fall while ``order`` rises. Rows are numbered within chunks; only the chunks' counts, one row each, are added up together.
+    ``index``: a whole number that doesn't fall while ``order`` rises. Rows are numbered within chunks of ``size`` index values, chunks within
+    chunks of ``size`` of them; only the counts of the latter, one row for size * size index values, are added up in one place.
     """
-    df = df.withColumn("_chunk", chunk)
-    counts = df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.select("_chunk", (F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")).alias("_base"))
+    df = df.withColumn("_chunk", F.floor(index / size))
+    counts = df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_chunk") / size))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_all"))
+    blocks = blocks.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_before"))
+    inner = F.sum("_n").over(Window.partitionBy("_block").orderBy("_chunk")) - F.col("_n")
+    base = counts.withColumn("_inner", inner).join(blocks, "_block").select("_chunk", (F.col("_before") + F.col("_inner")).alias("_base"))
     local = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order)) - 1
     return df.withColumn("_local", local).join(base, "_chunk").withColumn(as_, F.col("_base") + F.col("_local")).drop("_chunk", "_base", "_local")

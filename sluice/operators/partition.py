@@ -23,14 +23,14 @@ def group_by_partition(df: DataFrame, n: int, group: Column) -> DataFrame:
     return df.withColumn(PARTITION, bucket_of(group.cast("string"), n))
 
 
-def shuffle_partition(df: DataFrame, n: int, order: list[str], chunk: Column, seed: int = 1) -> DataFrame:
+def shuffle_partition(df: DataFrame, n: int, order: list[str], index: Column, seed: int = 1) -> DataFrame:
     """Round robin from ``seed``, in the order given (see :func:`sluice.functions.numbered`)."""
-    return numbered(df, order, chunk, "_row").withColumn(PARTITION, F.pmod(F.col("_row") + seed, F.lit(n))).drop("_row")
+    return numbered(df, order, index, "_row").withColumn(PARTITION, F.pmod(F.col("_row") + seed, F.lit(n))).drop("_row")
 
 
-def shuffle_grouping_partition(df: DataFrame, n: int, order: list[str], chunk: Column, seed: int = 1) -> DataFrame:
+def shuffle_grouping_partition(df: DataFrame, n: int, order: list[str], index: Column, seed: int = 1) -> DataFrame:
     """Each n messages in a row hit each of n tasks once, every round in another order."""
-    rows = numbered(df, order, chunk, "_row").withColumn("_round", F.expr(f"_row div {n}"))
+    rows = numbered(df, order, index, "_row").withColumn("_round", F.expr(f"_row div {n}"))
     place = F.row_number().over(Window.partitionBy("_round").orderBy(F.xxhash64("_row", F.lit(seed)), "_row")) - 1
     # a last round of fewer messages takes the first places
     return rows.withColumn(PARTITION, place.cast("long")).drop("_row", "_round")

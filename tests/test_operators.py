@@ -85,10 +85,11 @@ def test_string_hash(spark):
 @pytest.mark.parametrize("n", [1, 3, 7])
 def test_round_robin_and_grouping(spark, n):
     rows = spark.range(50).withColumnRenamed("id", "event_id")
-    order, chunk = ["event_id"], F.expr("event_id div 8")
-    dealt = {r.event_id: r.partition_id for r in part.shuffle_partition(rows, n, order, chunk, 1).collect()}
+    order, index = ["event_id"], F.col("event_id")
+    assert {r.event_id: r.row for r in fn.numbered(rows, order, index, size=4).collect()} == {i: i for i in range(50)}
+    dealt = {r.event_id: r.partition_id for r in part.shuffle_partition(rows, n, order, index, 1).collect()}
     assert dealt == {i: (i + 1) % n for i in range(50)}
-    grouped = sorted((r.event_id, r.partition_id) for r in part.shuffle_grouping_partition(rows, n, order, chunk).collect())
+    grouped = sorted((r.event_id, r.partition_id) for r in part.shuffle_grouping_partition(rows, n, order, index).collect())
     for low in range(0, 50 - n + 1, n):
         assert sorted(p for _, p in grouped[low : low + n]) == list(range(n))
 
