@@ -14,6 +14,8 @@ from sluice.llm.common import Written, small_batches, spark_schema
 
 #: A bucket with more fingerprints than this is dealt out as tiles, each of two chunks of this size at most, about.
 TILE = 1024
+#: The share of fingerprints by which the sizes of buckets are estimated: one of so many.
+SHARE = 16
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -35,15 +37,18 @@ def dealt(prints: DataFrame, blocks: int, distance: int, written: Written, carry
     """(key, tile, print, *carry): each fingerprint under each of its block keys, in every tile where it may meet a near one.
 
     ``prints``: a written table with distinct values of ``print`` (with ``carry``: rows of such).  Two fingerprints that differ in
-    at most ``distance`` bits share a key, and some tile of that key.  Only keys with over TILE rows have several tiles: with C
-    chunks of such a key, a row goes to C of its C (C + 1) / 2 tiles.
+    at most ``distance`` bits share a key, and some tile of that key.  Only keys with over TILE rows, as estimated, have several tiles: with
+    C chunks of such a key, a row goes to C of its C (C + 1) / 2 tiles.
     """
 
     def keyed(*cols: str) -> DataFrame:
         keys = F.array(*(F.xxhash64(F.lit(i), F.col("print").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(blocks, distance))))
         return prints.select("print", *cols, F.explode(keys).alias("key"))
 
-    hot = written(keyed().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")))
+    # sizes are estimated from every SHARE-th fingerprint, by hash; all rows are dealt out whatever the estimate says
+    some = keyed().where(F.pmod(F.xxhash64("print", F.lit(11)), F.lit(SHARE)) == 0)
+    size = F.col("n") * SHARE
+    hot = written(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(size > TILE).select("key", F.ceil(size / TILE).cast("int").alias("chunks")))
     rows = keyed(*carry)
     if hot.isEmpty():
         return rows.withColumn("tile", F.lit(0))
