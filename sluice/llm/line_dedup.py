@@ -168,7 +168,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
     release()
 
     # their texts, out of the documents that hold the first occurrence
-    wanted = written(lines.join(candidates, "print").select("h1", "h2", "print", F.col("first.id").alias("id"), F.col("first.line").alias("line")))
+    wanted = written(lines.join(candidates.hint("merge"), "print").select("h1", "h2", "print", F.col("first.id").alias("id"), F.col("first.line").alias("line")))
     edges = None
     if not wanted.isEmpty():
         asked = written(wanted.groupBy("id").agg(F.collect_list(F.struct("line", "h1", "h2", "print")).alias("asked")).withColumnRenamed("id", "of"))
@@ -184,7 +184,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, texts_schema.values(), strict=True)], names=list(texts_schema))
 
         texts_schema = {"h1": pa.int64(), "h2": pa.int64(), "print": pa.int64(), "text": pa.string()}
-        matched = slim.join(asked, F.col("id").eqNullSafe(F.col("of"))).select("text", "asked")
+        matched = slim.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("text", "asked")
         texts = written(map_batches(matched, fetch, spark_schema(texts_schema)).dropDuplicates(["h1", "h2"]))
         release()
 
@@ -208,6 +208,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
         linked = rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(verify, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
         edges = written(linked.distinct())
         release()
+    # joins with tables of all lines or documents shuffle at any size, so that a run on little data shows what one on much does
     keys = ["h1", "h2"]
     if edges is None or edges.isEmpty():
         kept = lines.where("n > 1").select(*keys, "first.id", "first.line")
@@ -216,7 +217,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
         labels = written(labels.join(lines.select(*keys, "first"), keys))
         tops = written(labels.groupBy("label").agg(F.min("first").alias("top")))
         grouped_lines = written(labels.join(tops, "label").select(*keys, F.col("top.id").alias("id"), F.col("top.line").alias("line")))
-        alone = lines.where("n > 1").join(grouped_lines.select(*keys), keys, "left_anti").select(*keys, "first.id", "first.line")
+        alone = lines.where("n > 1").join(grouped_lines.select(*keys).hint("merge"), keys, "left_anti").select(*keys, "first.id", "first.line")
         kept = grouped_lines.union(alone)
     return occurrences, written(kept)
 
@@ -239,12 +240,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     written = Written(docs.sparkSession, "lines")
     occurrences, kept = groups(docs, id_col, text_col, percent, blocks, distance, written)
     stays = kept.select("h1", "h2", F.col("id").alias("kept_id"), F.col("line").alias("kept_line"))
-    gone = occurrences.join(stays, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("line") == F.col("kept_line"))))
+    gone = occurrences.join(stays.hint("merge"), ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("line") == F.col("kept_line"))))
     gone = written(gone.groupBy("id").agg(F.collect_set("line").alias("gone")))
     Release(docs.sparkSession)()
     of, drop = free_name(docs.columns, "of"), free_name(docs.columns, "gone")
     gone = gone.select(F.col("id").alias(of), F.col("gone").alias(drop))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(of)), "left").drop(of)
+    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(of)), "left").drop(of)
 
     return _with_lines(joined, docs.columns, text_col, drop, as_)
 

@@ -89,5 +89,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     groups = near_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, distance)
     mark = free_name(docs.columns, "kept_id")
     keep = written(groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mark)).distinct())
-    kept = docs.join(keep, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))
