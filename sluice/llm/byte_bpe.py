@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from sluice.llm.common import annotate
 
 #: Pre-tokens and space-separated parts that a worker remembers, and the characters of the longest it does.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
+#: Marks that make a pre-token of their own after a word.
+MARKS = tuple(".,;:!?")
 #: Texts with more characters are split by a running match, so that their parts aren't all held at once.
 LONG_TEXT = 1 << 20
 
@@ -60,7 +62,7 @@ class Codec:
         self.words = [0] * ((max(self.ranks.values()) >> 8) + 1)
         self.find = regex.compile(pattern)
         self.pieces = Remembering(self._piece)
-        self.parts = Remembering(lambda part: " ".join(map(self.pieces.__getitem__, self.find.findall(" " + part))))
+        self.parts = Remembering(self._part)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token, in time n log n of its n bytes."""
@@ -72,9 +74,9 @@ class Codec:
         pair = [self.byte_pairs[a][b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of this symbol and the next
         for i, r in enumerate(pair):
             if r in buckets:
-                buckets[r].append(i)  # in order, so a heap
+                self._more(buckets, r, i)
             elif r >= 0:
-                buckets[r] = [i]
+                buckets[r] = i
                 words[r >> 8] |= 1 << (r & 255)
                 tops |= 1 << (r >> 8)
         pair.append(-1)
@@ -85,10 +87,12 @@ class Codec:
             own = words[w]
             low = own & -own
             r = (w << 8) + low.bit_length() - 1
-            bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[r]
+            i = buckets.pop(r)
+            if i.__class__ is list:
+                bucket, i = i, heappop(i)
+                if bucket:
+                    buckets[r] = bucket
+            if r not in buckets:
                 words[w] = own = own ^ low
                 if not own:
                     tops &= tops - 1
@@ -98,31 +102,49 @@ class Codec:
             stop = end[i] = end[middle]
             pair[middle] = -1
             before[stop] = i
-            r = get(piece[i : end[stop]], -1) if stop < n else -1
-            pair[i] = r
-            if r >= 0:
+            if stop < n:
+                r = pair[i] = get(piece[i : end[stop]], -1)
                 if r in buckets:
-                    heappush(buckets[r], i)
-                else:
-                    buckets[r] = [i]
+                    self._more(buckets, r, i)
+                elif r >= 0:
+                    buckets[r] = i
                     words[r >> 8] |= 1 << (r & 255)
                     tops |= 1 << (r >> 8)
+            else:
+                pair[i] = -1
             i = before[i]
             if i >= 0:
                 r = pair[i] = get(piece[i:stop], -1)
-                if r >= 0:
-                    if r in buckets:
-                        heappush(buckets[r], i)
-                    else:
-                        buckets[r] = [i]
-                        words[r >> 8] |= 1 << (r & 255)
-                        tops |= 1 << (r >> 8)
+                if r in buckets:
+                    self._more(buckets, r, i)
+                elif r >= 0:
+                    buckets[r] = i
+                    words[r >> 8] |= 1 << (r & 255)
+                    tops |= 1 << (r >> 8)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
         return out
 
+    @staticmethod
+    def _more(buckets: dict, rank: int, position: int) -> None:
+        """A bucket of one position is that number; of several a heap."""
+        own = buckets[rank]
+        if own.__class__ is list:
+            heappush(own, position)
+        else:
+            buckets[rank] = [min(own, position), max(own, position)]
+
+    def _part(self, part: str) -> str:
+        """The ids of a part between spaces, and the space before it."""
+        if part.isalpha():
+            return self.pieces[" " + part]
+        stem, mark = part[:-1], part[-1:]
+        if mark in MARKS and stem.isalpha():
+            return f"{self.pieces[' ' + stem]} {self.pieces[mark]}"
+        return " ".join(map(self.pieces.__getitem__, self.find.findall(" " + part)))
+
     def _piece(self, piece: str) -> str:
         return " ".join(map(str, self.merge(piece.encode())))
 
