@@ -17,7 +17,11 @@ from sluice.llm.common import Written, annotate, map_batches, mix, slices, small
 #: Places of the hashed vectors, the dimensions they are projected to, and the bits of each in a curve key.
 PLACES, DIMENSIONS, BITS = 1024, 4, 12
 #: Parts of texts whose ids a worker remembers, and the characters of the longest it does.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 800_000, 48
+#: Words of letters that are encoded as one text.
+JOINED = 128
+#: Marks that may follow a word at once.
+MARKS = tuple(".,;:!?")
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -81,32 +85,71 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        #: whether an id ends a word
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str], last: int) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known, new = self.known, {}
-        for parts in split:
-            for part in parts:
-                if part not in known:
-                    new[part] = b""
-        names = list(new)
-        for at in range(0, len(names), 4096):
-            block = names[at : at + 4096]
-            for name, found in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                new[name] = np.array(found.ids, np.uint16).tobytes()
-        if len(known) + len(new) > REMEMBERED:
-            kept = {p: known[p] for parts in split for p in parts if p in known}
-            known.clear()
-            known.update(kept)
-        known.update(new)
+        known = self.known
+        new = set().union(*split).difference(known)
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                kept = {p: known[p] for p in set().union(*split).difference(new)}
+                known.clear()
+                known.update(kept)
+            self.learn(new)
         end = np.array([last], np.uint16).tobytes()
         out = [b"".join(map(known.__getitem__, parts)) + end for parts in split]
-        for name in names:
+        for name in new:
             if len(name) > LONGEST:
                 del known[name]
         return out
 
+    def learn(self, parts: set[str]) -> None:
+        """Puts the ids of parts without white space in ``known``.
+
+        A letters-only part and a mark after it are two pre-tokens, and case is dropped; so most parts go back to words that others share.
+        """
+        known, stems = self.known, {}
+        for part in parts:
+            stem, mark = (part[:-1], part[-1]) if part[-1:] in MARKS else (part, "")
+            if stem.isalpha():
+                stems[part] = (stem.lower() if stem.isascii() else stem, mark)
+            else:
+                stems[part] = (part, "")
+        words = {x for pair in stems.values() for x in pair}.difference(known)
+        self.encode([x for x in words if x.isalpha()], JOINED)
+        self.encode([x for x in words if not x.isalpha()], 1)
+        for part, (stem, mark) in stems.items():
+            known[part] = known[stem] + known[mark]
+        for name in words:
+            if len(name) > LONGEST and name not in parts:
+                del known[name]
+
+
+    def encode(self, names: list[str], joined: int) -> None:
+        """Puts the ids of parts in ``known``; ``joined`` words of letters go as one text, whose ids are cut after those that end a word."""
+        texts = [" ".join(names[at : at + joined]) for at in range(0, len(names), joined)] if joined > 1 else names
+        for at in range(0, len(texts), 4096):
+            block = texts[at : at + 4096]
+            for i, found in enumerate(self.tokenizer.encode_batch_fast(block, add_special_tokens=False), at):
+                ids = np.array(found.ids, np.uint16)
+                flat = ids.tobytes()
+                if joined == 1:
+                    self.known[names[i]] = flat
+                    continue
+                own = names[i * joined : (i + 1) * joined]
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(own) or ends[-1] != len(ids):
+                    self.encode(own, 1)
+                    continue
+                low = 0
+                for name, high in zip(own, (2 * ends).tolist(), strict=True):
+                    self.known[name] = flat[low:high]
+                    low = high
+
 
 @functools.lru_cache(maxsize=1)
 def ids_by(path: str) -> Ids:
