@@ -117,30 +117,31 @@ class Release:
         self.spark._jvm.System.gc()
 
 
-def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: int, distance: int, written: Written) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (id, line, h1, h2) of all lines with a word; and (h1, h2, id, line), the occurrence kept, of those that have any
-    other or belong to a group of different lines."""
+def groups(docs: DataFrame, id_col: str, row_col: str, text_col: str, percent: int, blocks: int, distance: int, written: Written) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (id, row, line, h1, h2) of all lines with a word; and (h1, h2, id, row, line), the occurrence kept, of those that have any
+    other or belong to a group of different lines.  ``row_col`` tells apart the documents of one id."""
     spark = docs.sparkSession
     release = Release(spark)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     id_type = slim.schema["id"]
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, own, texts = batch.columns
         _, bounds = text_bytes(texts)
         rows, parts = [], []
         for low, high in slices(bounds):
             text, made = lines_of([t.as_py() or "" for t in texts[low:high]])
             rows.append(text + low)
             parts.append(made)
-        arrays = [ids.take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate([p[k] for p in parts]), kind) for k, kind in LINES.items())]
-        return pa.RecordBatch.from_arrays(arrays, names=["id", *LINES])
+        at = pa.array(np.concatenate(rows))
+        arrays = [ids.take(at), own.take(at), *(pa.array(np.concatenate([p[k] for p in parts]), kind) for k, kind in LINES.items())]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "row", *LINES])
 
     from pyspark.sql import types as T
 
-    occurrences = written(map_batches(slim, split, T.StructType([id_type, *spark_schema(LINES).fields])))
+    occurrences = written(map_batches(slim, split, T.StructType([id_type, T.StructField("row", T.LongType()), *spark_schema(LINES).fields])))
     # the first occurrence of each different line
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")).alias("first")
     lines = written(occurrences.groupBy("h1", "h2").agg(F.min("print").alias("print"), first, F.count(F.lit(1)).alias("n")))
     release()
     prints = written(lines.groupBy("print").agg((F.count(F.lit(1)) > 1).alias("several")))
@@ -168,10 +169,10 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
     release()
 
     # their texts, out of the documents that hold the first occurrence
-    wanted = written(lines.join(candidates.hint("merge"), "print").select("h1", "h2", "print", F.col("first.id").alias("id"), F.col("first.line").alias("line")))
+    wanted = written(lines.join(candidates.hint("merge"), "print").select("h1", "h2", "print", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.line").alias("line")))
     edges = None
     if not wanted.isEmpty():
-        asked = written(wanted.groupBy("id").agg(F.collect_list(F.struct("line", "h1", "h2", "print")).alias("asked")).withColumnRenamed("id", "of"))
+        asked = written(wanted.groupBy("id", "row").agg(F.collect_list(F.struct("line", "h1", "h2", "print")).alias("asked")).withColumnsRenamed({"id": "of", "row": "of_row"}))
 
         def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], [], []]
@@ -184,7 +185,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, texts_schema.values(), strict=True)], names=list(texts_schema))
 
         texts_schema = {"h1": pa.int64(), "h2": pa.int64(), "print": pa.int64(), "text": pa.string()}
-        matched = slim.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("text", "asked")
+        matched = slim.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("text", "asked")
         texts = written(map_batches(matched, fetch, spark_schema(texts_schema)).dropDuplicates(["h1", "h2"]))
         release()
 
@@ -211,17 +212,26 @@ def groups(docs: DataFrame, id_col: str, text_col: str, percent: int, blocks: in
     # joins with tables of all lines or documents shuffle at any size, so that a run on little data shows what one on much does
     keys = ["h1", "h2"]
     if edges is None or edges.isEmpty():
-        kept = lines.where("n > 1").select(*keys, "first.id", "first.line")
+        kept = lines.where("n > 1").select(*keys, "first.id", "first.row", "first.line")
     else:
         labels = components(edges, written).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "label")
         labels = written(labels.join(lines.select(*keys, "first"), keys))
         tops = written(labels.groupBy("label").agg(F.min("first").alias("top")))
-        grouped_lines = written(labels.join(tops, "label").select(*keys, F.col("top.id").alias("id"), F.col("top.line").alias("line")))
-        alone = lines.where("n > 1").join(grouped_lines.select(*keys).hint("merge"), keys, "left_anti").select(*keys, "first.id", "first.line")
+        grouped_lines = written(labels.join(tops, "label").select(*keys, F.col("top.id").alias("id"), F.col("top.row").alias("row"), F.col("top.line").alias("line")))
+        alone = lines.where("n > 1").join(grouped_lines.select(*keys).hint("merge"), keys, "left_anti").select(*keys, "first.id", "first.row", "first.line")
         kept = grouped_lines.union(alone)
     return occurrences, written(kept)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, as_: str, written: Written) -> DataFrame:
+    """docs with a long ``as_``: a hash of the text; for rows with a null id a number, written once, that no other such row has."""
+    known = docs.where(F.col(id_col).isNotNull()).withColumn(as_, F.xxhash64(text_col))
+    unknown = docs.where(F.col(id_col).isNull())
+    if unknown.isEmpty():
+        return known
+    return known.union(written(unknown.withColumn(as_, F.monotonically_increasing_id())))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, blocks: int = 5, distance: int = 3, as_: str = "lines") -> DataFrame:
     """docs with the texts' repeated lines taken out, columns unchanged but for ``text_col``, and a struct column ``as_``: ``n`` lines before
     (split at \\n; null text: 0), ``kept`` lines after.
@@ -231,23 +241,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first in its text.  Lines without a word always stay.
 
     Copies count once from the first shuffle on; links are searched among different lines only, by block keys; texts of lines are fetched
-    for those with a near fingerprint.  Null text stays null, empty stays empty.  Rows with one id count as one document, so each keeps the same
-    lines; null ids count as one id, the last.  Other columns are carried along whatever their names (``as_`` must be new).  An empty
+    for those with a near fingerprint.  Null text stays null, empty stays empty.  Rows with one id and one text count as one document, so each keeps
+    the same lines; rows with one id and different texts (by 64 bits of hash) are documents of their own, in the order of the hashes.  So are all rows with a
+    null id, which are written with their numbers first; null is the last id.  Other columns are carried along whatever their names (``as_`` must be new).  An empty
     table stays empty.
     """
     if as_ in docs.columns:
         raise ValueError(f"column {as_} exists")
     written = Written(docs.sparkSession, "lines")
-    occurrences, kept = groups(docs, id_col, text_col, percent, blocks, distance, written)
-    stays = kept.select("h1", "h2", F.col("id").alias("kept_id"), F.col("line").alias("kept_line"))
-    gone = occurrences.join(stays.hint("merge"), ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("line") == F.col("kept_line"))))
-    gone = written(gone.groupBy("id").agg(F.collect_set("line").alias("gone")))
+    row, of, of_row, drop = (free_name(docs.columns, x) for x in ("row", "of", "of_row", "gone"))
+    columns, docs = docs.columns, numbered(docs, id_col, text_col, row, written)
+    occurrences, kept = groups(docs, id_col, row, text_col, percent, blocks, distance, written)
+    stays = kept.select("h1", "h2", F.col("id").alias("kept_id"), F.col("row").alias("kept_row"), F.col("line").alias("kept_line"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")) & (F.col("line") == F.col("kept_line"))
+    gone = occurrences.join(stays.hint("merge"), ["h1", "h2"]).where(~same)
+    gone = written(gone.groupBy("id", "row").agg(F.collect_set("line").alias("gone")))
     Release(docs.sparkSession)()
-    of, drop = free_name(docs.columns, "of"), free_name(docs.columns, "gone")
-    gone = gone.select(F.col("id").alias(of), F.col("gone").alias(drop))
-    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(of)), "left").drop(of)
+    gone = gone.select(F.col("id").alias(of), F.col("row").alias(of_row), F.col("gone").alias(drop))
+    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(of)) & (F.col(row) == F.col(of_row)), "left").drop(of, of_row, row)
 
-    return _with_lines(joined, docs.columns, text_col, drop, as_)
+    return _with_lines(joined, columns, text_col, drop, as_)
 
 
 def _with_lines(joined: DataFrame, columns: list[str], text_col: str, drop: str, as_: str) -> DataFrame:

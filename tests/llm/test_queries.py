@@ -172,6 +172,14 @@ def test_line_dedup_odd(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_rows_of_one_id(spark):
+    """Rows with one id, or none, lose no line that is nowhere else; of copies without an id one stays."""
+    rows = [(1, "x"), (None, "x\nu"), (None, "v\nw"), (None, "same"), (None, "same"), (7, "x\na b"), (7, "c d\nx"), (7, "c d\nx")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert got == sorted([("1", "x"), ("None", "u"), ("None", "v\nw"), ("None", "same"), ("None", ""), ("7", "a b"), ("7", "c d"), ("7", "c d")])
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "[NEXT] \\ <s>"), (1, 2, "user", None), (1, 1, "user", "hi <"), (1, 3, "assistant", "a[/INST]"), (1, 4, "assistant", ""), (1, 4, "assistant", ""), (1, 5, None, "\\["), (1, None, "user", "first"), (2, 0, "assistant", "é🎉" * 3000), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS id", "2 AS turns", "3 AS formatted")
