@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import Written, free_name, hash_spans, map_batches, mix, prefix_sums, slices, small_batches, spark_schema, span_hashes, text_bytes, word_spans
 from sluice.llm.components import components
-from sluice.llm.tiles import dealt, grouped, groups_of, walk
+from sluice.llm.tiles import TILE, dealt, grouped, groups_of, walk
 
 #: Words whose bits are counted at once.
 BLOCK = 1 << 14
@@ -34,6 +36,53 @@ def majority(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > (end - start)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+#: Byte runs of GRAM bytes, of which each of BANDS keys of a line takes PER minima.
+GRAM, BANDS, PER = 6, 24, 3
+#: Odd numbers whose products put the runs in BANDS * PER orders.
+ODD = (mix(np.arange(1, BANDS * PER + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """BANDS 32-bit keys of each of some lines (not empty): MinHash over their runs of GRAM bytes, or the whole of a shorter line.
+
+    A key is equal for two lines with the chance of their runs' Jaccard similarity to the power of PER, so that lines share some key the more
+    surely, the longer the runs of bytes that edits leave whole.
+    """
+    data = [x.encode() for x in lines]
+    size = np.array([len(x) for x in data])
+    raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    h = np.zeros(len(raw), np.uint64)
+    for k in range(GRAM):
+        h[: len(raw) - k] = (h[: len(raw) - k] << np.uint64(8)) | raw[k:]
+    first = np.cumsum(size) - size
+    for i in np.flatnonzero(size < GRAM):  # without what follows the line
+        h[first[i]] = int.from_bytes(data[i], "big")
+    most = np.maximum(size - GRAM, 0)
+    whole = np.arange(len(raw)) - np.repeat(first, size) <= np.repeat(most, size)
+    h = (mix(h[whole]) >> np.uint64(32)).astype(np.uint32)
+    first = np.cumsum(most + 1) - most - 1
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    for i, odd in enumerate(ODD):
+        out[:, i // PER] = mix(out[:, i // PER] ^ np.minimum.reduceat(h * odd, first) ^ np.uint64(i << 40))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+#: Lines of so many characters at most also have a key for all that is left of them after some deletions.
+SHORT = 14
+
+
+def remains(line: str, percent: int) -> bytes:
+    """32-bit hashes of a short line with up to two characters left out, fewer if no similar line is that far; empty for others.
+
+    At 80 percent any two similar short lines have one in common.
+    """
+    n = len(line)
+    if n > SHORT:
+        return b""
+    left = {"".join(x) for k in range(min(2, n * (100 - percent) // percent) + 1) for x in combinations(line, n - k)}
+    return np.array([zlib.crc32(x.encode()) for x in left], "<u4").tobytes()
+
+
 LINES = {"line": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "print": pa.int64()}
 
 
@@ -104,6 +153,32 @@ def similar(a: str, b: str, percent: int) -> bool:
     return within(a, b, max(len(a), len(b)) * (100 - percent) // 100)
 
 
+def counts(lines: list[str], kinds: int = 128) -> np.ndarray:
+    """How often each line has each kind of two characters on end; an edit changes at most two in either line."""
+    out = np.zeros((len(lines), kinds), np.int32)
+    for i, x in enumerate(lines):
+        c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        out[i] = np.bincount((c[1:] * np.uint32(31) + c[:-1]) % kinds, minlength=kinds)
+    return out
+
+
+def alike(texts: list[str], percent: int) -> Iterator[np.ndarray]:
+    """The connected groups (of two and more) of texts that are :func:`similar`, as lists of positions."""
+    size = np.array([len(x) for x in texts])
+    pairs = counts(texts)
+
+    def linked(i: int, others: np.ndarray) -> np.ndarray:
+        most = np.maximum(size[others], size[i]) * (100 - percent) // 100
+        out = np.abs(size[others] - size[i]) <= most
+        at = np.flatnonzero(out)
+        out[at] = np.abs(pairs[others[at]] - pairs[i]).sum(1) <= 4 * most[at]
+        at = np.flatnonzero(out)
+        out[at] = [similar(texts[i], texts[j], percent) for j in others[at]]
+        return out
+
+    return walk(np.zeros(len(texts), np.uint64), 0, linked)
+
+
 class Release:
     """Lets go of shuffle files that no table needs any more: Spark deletes them once the JVM has collected what refers to them."""
 
@@ -117,33 +192,44 @@ class Release:
         self.spark._jvm.System.gc()
 
 
-def groups(docs: DataFrame, id_col: str, row_col: str, text_col: str, percent: int, blocks: int, distance: int, written: Written) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, id_col: str, row_col: str, text_col: str, percent: int, blocks: int, distance: int | None, written: Written) -> tuple[DataFrame, DataFrame]:
     """Written tables: (id, row, line, h1, h2) of all lines with a word; and (h1, h2, id, row, line), the occurrence kept, of those that have any
-    other or belong to a group of different lines.  ``row_col`` tells apart the documents of one id."""
+    other or belong to a group of different lines.  ``row_col`` tells apart the documents of one id.
+    Without a ``distance`` lines are compared that share one of their :func:`bands` or :func:`remains`."""
     spark = docs.sparkSession
     release = Release(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     id_type = slim.schema["id"]
 
+    fields = LINES | ({"bands": pa.binary(), "size": pa.int32()} if distance is None else {})
+
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, own, texts = batch.columns
         _, bounds = text_bytes(texts)
         rows, parts = [], []
         for low, high in slices(bounds):
-            text, made = lines_of([t.as_py() or "" for t in texts[low:high]])
+            values = [t.as_py() or "" for t in texts[low:high]]
+            text, made = lines_of(values)
+            if distance is None:
+                lines = [n for x in values for line in x.split("\n") if (n := normal(line))]
+                made["bands"] = [x.tobytes() + remains(line, percent) for x, line in zip(bands(lines), lines, strict=True)] if lines else []
+                made["size"] = np.array([len(x) for x in lines], np.int32)
             rows.append(text + low)
             parts.append(made)
         at = pa.array(np.concatenate(rows))
-        arrays = [ids.take(at), own.take(at), *(pa.array(np.concatenate([p[k] for p in parts]), kind) for k, kind in LINES.items())]
-        return pa.RecordBatch.from_arrays(arrays, names=["id", "row", *LINES])
+        arrays = [ids.take(at), own.take(at), *(pa.array(np.concatenate([p[k] for p in parts]) if k != "bands" else [x for p in parts for x in p[k]], kind) for k, kind in fields.items())]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "row", *fields])
 
     from pyspark.sql import types as T
 
-    occurrences = written(map_batches(slim, split, T.StructType([id_type, T.StructField("row", T.LongType()), *spark_schema(LINES).fields])))
+    occurrences = written(map_batches(slim, split, T.StructType([id_type, T.StructField("row", T.LongType()), *spark_schema(fields).fields])))
     # the first occurrence of each different line
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")).alias("first")
-    lines = written(occurrences.groupBy("h1", "h2").agg(F.min("print").alias("print"), first, F.count(F.lit(1)).alias("n")))
+    own = [F.min(k).alias(k) for k in ("print", *(k for k in fields if k not in LINES))]
+    lines = written(occurrences.groupBy("h1", "h2").agg(*own, first, F.count(F.lit(1)).alias("n")))
     release()
+    if distance is None:
+        return occurrences, _kept(lines, _edges_by_bands(slim, lines, percent, written, release), written)
     prints = written(lines.groupBy("print").agg((F.count(F.lit(1)) > 1).alias("several")))
     release()
 
@@ -209,6 +295,86 @@ def groups(docs: DataFrame, id_col: str, row_col: str, text_col: str, percent: i
         linked = rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(verify, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
         edges = written(linked.distinct())
         release()
+    return occurrences, _kept(lines, edges, written)
+
+
+def _edges_by_bands(slim: DataFrame, lines: DataFrame, percent: int, written: Written, release: Release) -> DataFrame:
+    """Edges (a, b) between the lines that share one of their bands or remains and are similar."""
+    small_batches(slim.sparkSession)
+    places = F.sequence(F.lit(0), (F.length("bands") / 4 - 1).cast("int"))
+    keys = F.transform(places, lambda i: F.xxhash64(F.least(i, F.lit(BANDS)), F.substring(F.col("bands"), 4 * i + 1, F.lit(4))))
+    keyed = lines.select("h1", "h2", "size", F.explode(keys).alias("key"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # lines whose next in size, under some key, isn't too long or too short for them; keys of the same such lines become one
+        for batch in grouped(batches, 1):
+            key, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            close = (key[1:] == key[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:])
+            hit = np.zeros(len(key), bool)
+            hit[1:] |= close
+            hit[:-1] |= close
+            if hit.any():
+                at = np.flatnonzero(hit)
+                h1, h2 = (batch.column(i).take(pa.array(at)) for i in (2, 3))
+                new = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1])))
+                own = mix(h1.to_numpy().view(np.uint64) ^ mix(h2.to_numpy().view(np.uint64)))
+                group = np.repeat(mix(np.add.reduceat(own, new)), np.diff(np.append(new, len(at)))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(group), h1, h2], names=["key", "h1", "h2"])
+
+    sorted_rows = keyed.select("key", "size", "h1", "h2").repartition("key").sortWithinPartitions("key", "size")
+    found = written(sorted_rows.mapInArrow(near, spark_schema({"key": pa.int64(), "h1": pa.int64(), "h2": pa.int64()})).distinct())
+    release()
+    wanted = found.select("h1", "h2").distinct()
+    asked = lines.join(wanted.hint("merge"), ["h1", "h2"]).select("h1", "h2", F.col("first.id").alias("of"), F.col("first.row").alias("of_row"), F.col("first.line").alias("line"))
+    asked = written(asked.groupBy("of", "of_row").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("asked")))
+    texts_schema = {"h1": pa.int64(), "h2": pa.int64(), "text": pa.string()}
+
+    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], []]
+        for text, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            parts = (text.as_py() or "").split("\n")
+            for x in own:
+                if x["line"] < len(parts):
+                    for column, value in zip(out, (x["h1"], x["h2"], normal(parts[x["line"]])), strict=True):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, texts_schema.values(), strict=True)], names=list(texts_schema))
+
+    matched = slim.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("text", "asked")
+    texts = written(map_batches(matched, fetch, spark_schema(texts_schema)).dropDuplicates(["h1", "h2"]))
+    release()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches):
+            bounds = groups_of(batch)
+            out: list[list[int]] = [[], []]
+            for k in np.flatnonzero(np.diff(bounds) > 1):
+                low, high = int(bounds[k]), int(bounds[k + 1])
+                for g in alike(batch.column(4).slice(low, high - low).to_pylist(), percent):
+                    out[0] += (low + g[:-1]).tolist()
+                    out[1] += (low + g[1:]).tolist()
+            if out[0]:
+                ends = [pa.StructArray.from_arrays([batch.column(2).take(pa.array(i)), batch.column(3).take(pa.array(i))], ["h1", "h2"]) for i in out]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    # large keys are dealt out as tiles of two chunks
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    hot = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).select("key", chunks.alias("chunks")))
+    rows = found.join(hot, "key", "left")
+    mine = F.pmod(F.xxhash64("h1", "h2", F.lit(7)), F.col("chunks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, mine) * F.col("chunks") + F.greatest(c, mine))
+    rows = rows.select("key", "h1", "h2", F.explode(F.coalesce(tiles, F.array(F.lit(0)))).alias("tile"))
+    rows = rows.join(texts.hint("merge"), ["h1", "h2"]).select("key", "tile", "h1", "h2", "text")
+    from pyspark.sql import types as T
+
+    node = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    linked = rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(verify, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
+    edges = written(linked.distinct())
+    release()
+    return edges
+
+
+def _kept(lines: DataFrame, edges: DataFrame | None, written: Written) -> DataFrame:
+    """(h1, h2, id, row, line): the occurrence kept of lines that have any other or belong to a group of different lines."""
     # joins with tables of all lines or documents shuffle at any size, so that a run on little data shows what one on much does
     keys = ["h1", "h2"]
     if edges is None or edges.isEmpty():
@@ -220,7 +386,7 @@ def groups(docs: DataFrame, id_col: str, row_col: str, text_col: str, percent: i
         grouped_lines = written(labels.join(tops, "label").select(*keys, F.col("top.id").alias("id"), F.col("top.row").alias("row"), F.col("top.line").alias("line")))
         alone = lines.where("n > 1").join(grouped_lines.select(*keys).hint("merge"), keys, "left_anti").select(*keys, "first.id", "first.row", "first.line")
         kept = grouped_lines.union(alone)
-    return occurrences, written(kept)
+    return written(kept)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, as_: str, written: Written) -> DataFrame:
@@ -232,12 +398,13 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, as_: str, written: Wri
     return known.union(written(unknown.withColumn(as_, F.monotonically_increasing_id())))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, blocks: int = 5, distance: int = 3, as_: str = "lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, blocks: int = 5, distance: int | None = 3, as_: str = "lines") -> DataFrame:
     """docs with the texts' repeated lines taken out, columns unchanged but for ``text_col``, and a struct column ``as_``: ``n`` lines before
     (split at \\n; null text: 0), ``kept`` lines after.
 
     Lines link if their normal forms (:func:`normal`) are equal, or if the fingerprints of their words differ in ``distance`` bits or fewer and
-    their edit similarity is at least ``percent``.  Of each connected group over the whole corpus one occurrence stays: that with the smallest id, then the
+    their edit similarity is at least ``percent``.  That misses most pairs of one changed word; with ``distance`` None lines link that share one
+    of their :func:`bands` or :func:`remains` and have that edit similarity.  Of each connected group over the whole corpus one occurrence stays: that with the smallest id, then the
     first in its text.  Lines without a word always stay.
 
     Copies count once from the first shuffle on; links are searched among different lines only, by block keys; texts of lines are fetched
@@ -277,6 +444,6 @@ def _with_lines(joined: DataFrame, columns: list[str], text_col: str, drop: str,
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`dedup_lines`, columns unchanged, without the documents that it leaves without a word though they had one."""
     name = free_name(docs.columns, "lines")
-    out = dedup_lines(docs, id_col, text_col, as_=name)
+    out = dedup_lines(docs, id_col, text_col, distance=None, as_=name)
     emptied = (F.col(f"{name}.kept") < F.col(f"{name}.n")) & ~F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).drop(name)

@@ -172,6 +172,32 @@ def test_line_dedup_odd(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_by_edits(spark):
+    """Against brute force on edit similarity alone: lines with one or two changed words or letters, from short to long."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    lines = []
+    for n in (1, 2, 3, 8, 10, 20, 40) * 6:
+        parts = [word() for _ in range(n)]
+        other = list(parts)
+        for _ in range(1 if n < 20 else 2):
+            other[rng.randrange(n)] = word() if n > 3 else other[0] + "s"
+        lines += [" ".join(parts), " ".join(other)]
+    names = sorted({line_dedup.normal(x) for x in lines})
+    links = [(a, b) for a in names for b in names if a < b and line_dedup.similar(a, b, 80)]
+    group = groups_of(links, names)
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(group[line_dedup.normal(x)], i)
+    assert len(links) > 25
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(df, distance=None).collect() if r.lines.kept}
+    assert len(got ^ set(first.values())) <= len(links) // 20
+    short = [x for x in names if len(x) <= line_dedup.SHORT]
+    shared = lambda a, b: set(np.frombuffer(line_dedup.remains(a, 80), "<u4")) & set(np.frombuffer(line_dedup.remains(b, 80), "<u4"))
+    assert all(shared(a, b) for a in short for b in short if line_dedup.similar(a, b, 80))
+
+
 def test_line_dedup_rows_of_one_id(spark):
     """Rows with one id, or none, lose no line that is nowhere else; of copies without an id one stays."""
     rows = [(1, "x"), (None, "x\nu"), (None, "v\nw"), (None, "same"), (None, "same"), (7, "x\na b"), (7, "c d\nx"), (7, "c d\nx")]
