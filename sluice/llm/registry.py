@@ -59,6 +59,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+#: Every host with ruled pages is a seed, with their counts.
+ALL_SEEDS = url_filter.Spread(seed_percent=0)
+
+
+def op4_url_filter_all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_url_filter without its cut at 90 percent, which leaves hosts of mixed languages without any seed."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, ALL_SEEDS)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -92,7 +101,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_chat_format, op2_line_dedup, op3_quality_classifier, op4_url_filter, op5_packing, op6_byte_bpe, op7_quality_rules, op8_token_counts, op9_nearest, op10_simhash)
+    own = (op1_chat_format, op2_line_dedup, op3_quality_classifier, op4_url_filter, op4_url_filter_all_seeds, op5_packing, op6_byte_bpe, op7_quality_rules, op8_token_counts, op9_nearest, op10_simhash)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -171,5 +180,5 @@ def oracle_sql() -> dict[str, str]:
     """The others hash, merge or train in ways that SQL has no functions for; tests hold them against plain Python and the tokenizers' libraries."""
     import corpus_pipeline
 
-    known = {"op1_chat_format": _OP1, "op4_url_filter": _op4(), "op9_nearest": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op1_chat_format": _OP1, "op4_url_filter": _op4(), "op4_url_filter_all_seeds": _op4(ALL_SEEDS), "op9_nearest": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v}

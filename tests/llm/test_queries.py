@@ -251,6 +251,14 @@ def test_urls(spark):
     assert url_filter.judge_urls(df, [good, bad]).count() == len(rows) and url_filter.judge_urls(df.limit(0), [bad]).count() == 0
 
 
+def test_mixed_hosts_are_seeds(spark, tmp_path):
+    """Of a host without links, whose pages the rules decide both ways, the pages without a rule follow the larger share."""
+    rows = [(i, f"http://a.com{path}", None) for i, path in enumerate(["/en/1", "/en/2", "/en/3", "/x"])] + [(9, "http://b.net/de/1", None), (10, "http://b.net/x", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.verdict, r["by"]) for r in registry.queries()["op4_url_filter_all_seeds"](spark, str(tmp_path)).collect()}
+    assert got[3] == ("block", "links") and got[10] == ("allow", "links")
+
+
 def test_propagation(spark):
     """Against plain personalised PageRank."""
     rng = random.Random(5)
