@@ -17,23 +17,31 @@ from pyspark.sql import types as T
 BATCH_BYTES = 16 << 20
 #: Bytes of text that the numpy code holds as arrays at once; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes that a row counts for in a slice besides its text, so that short rows don't make wide ones.
+ROW_BYTES = 256
 
 
 # --- the shared folder ------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors see; a fresh local one where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which all executors see; where it is unset, a fresh local one if the master is local (tests)."""
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     known = context._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
 
 
+#: Whether Spark deletes a query's shuffle files when it ends; a written table is read again, never made again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
     """Tables written in the shared folder by one run of an operator: they cut lineage and survive lost executors."""
 
@@ -43,7 +51,12 @@ class Written:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written = path
         return out
@@ -137,10 +150,11 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(bounds: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes, or one longer row."""
+    """Ranges of rows with about ``most`` bytes, of which each row counts ROW_BYTES besides its own, or one longer row."""
     low, n = 0, len(bounds) - 1
+    cost = bounds + ROW_BYTES * np.arange(n + 1)
     while low < n:
-        high = int(np.searchsorted(bounds, bounds[low] + most, "right")) - 1
+        high = int(np.searchsorted(cost, cost[low] + most, "right")) - 1
         high = min(n, max(low + 1, high))
         yield low, high
         low = high

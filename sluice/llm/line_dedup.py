@@ -2,113 +2,58 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from itertools import combinations
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.llm.common import Written, free_name, hash_spans, map_batches, mix, prefix_sums, slices, small_batches, spark_schema, span_hashes, text_bytes, word_spans
+from sluice.llm import wide
+from sluice.llm.common import Written, free_name, hash_spans, map_batches, slices, small_batches, spark_schema, text_bytes, word_spans
 from sluice.llm.components import components
-from sluice.llm.tiles import TILE, dealt, grouped, groups_of, walk
+from sluice.llm.tiles import grouped
 
-#: Words whose bits are counted at once.
-BLOCK = 1 << 14
+LINES = {"line": pa.int32(), "h1": pa.int64(), "h2": pa.int64()} | dict.fromkeys(wide.COLUMNS, pa.int64())
 
 
-def normal(line: str) -> str:
-    """Lower case, words (``[^\\x20\\x09-\\x0D]+``) joined by single spaces."""
-    return b" ".join(line.lower().encode().split()).decode()
-
-
-def majority(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each range of hashes the 64 bits that are set in over half of them; ranges follow one another and aren't empty."""
-    ones = np.zeros((len(start), 64), np.int64)
-    which = np.repeat(np.arange(len(start)), end - start)
-    for at in range(0, len(h), BLOCK):
-        part, own = h[at : at + BLOCK], which[at : at + BLOCK]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > (end - start)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+@dataclass(frozen=True)
+class Near:
+    """Lines link if their fingerprints of 256 bits share a block of ``width`` bits (``tables`` orders of the bits, each cut into blocks), differ in at
+    most ``most_64`` of 64 bits and in at most ``most`` of all, and the edit similarity of their normal forms is ``percent`` of a hundred or more."""
 
+    width: int = 19
+    tables: int = 1
+    most_64: int = 16
+    most: int = 64
+    percent: int = 80
 
-#: Byte runs of GRAM bytes, of which each of BANDS keys of a line takes PER minima.
-GRAM, BANDS, PER = 6, 24, 3
-#: Odd numbers whose products put the runs in BANDS * PER orders.
-ODD = (mix(np.arange(1, BANDS * PER + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
-
-def bands(lines: list[str]) -> np.ndarray:
-    """BANDS 32-bit keys of each of some lines (not empty): MinHash over their runs of GRAM bytes, or the whole of a shorter line.
-
-    A key is equal for two lines with the chance of their runs' Jaccard similarity to the power of PER, so that lines share some key the more
-    surely, the longer the runs of bytes that edits leave whole.
-    """
-    data = [x.encode() for x in lines]
-    size = np.array([len(x) for x in data])
-    raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    h = np.zeros(len(raw), np.uint64)
-    for k in range(GRAM):
-        h[: len(raw) - k] = (h[: len(raw) - k] << np.uint64(8)) | raw[k:]
-    first = np.cumsum(size) - size
-    for i in np.flatnonzero(size < GRAM):  # without what follows the line
-        h[first[i]] = int.from_bytes(data[i], "big")
-    most = np.maximum(size - GRAM, 0)
-    whole = np.arange(len(raw)) - np.repeat(first, size) <= np.repeat(most, size)
-    h = (mix(h[whole]) >> np.uint64(32)).astype(np.uint32)
-    first = np.cumsum(most + 1) - most - 1
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    for i, odd in enumerate(ODD):
-        out[:, i // PER] = mix(out[:, i // PER] ^ np.minimum.reduceat(h * odd, first) ^ np.uint64(i << 40))
-    return (out >> np.uint64(32)).astype(np.uint32)
-
-
-#: Lines of so many characters at most also have a key for all that is left of them after some deletions.
-SHORT = 14
-
-
-def remains(line: str, percent: int) -> bytes:
-    """32-bit hashes of a short line with up to two characters left out, fewer if no similar line is that far; empty for others.
-
-    At 80 percent any two similar short lines have one in common.
-    """
-    n = len(line)
-    if n > SHORT:
-        return b""
-    left = {"".join(x) for k in range(min(2, n * (100 - percent) // percent) + 1) for x in combinations(line, n - k)}
-    return np.array([zlib.crc32(x.encode()) for x in left], "<u4").tobytes()
 
-
-LINES = {"line": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "print": pa.int64()}
+def normal(line: str) -> str:
+    """Lower case, words (``[^\\x20\\x09-\\x0D]+``) joined by single spaces."""
+    return b" ".join(line.lower().encode().split()).decode()
 
 
 def lines_of(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """For every line with a word: the text it is in, and LINES: its number there, 128 bits of hash of its normal form, its fingerprint.
-
-    A fingerprint is made of a line's different words, so that one that comes again and again, such as a bullet, doesn't decide it.
-    """
-    low = [t.lower().encode() for t in texts]
-    raw = np.frombuffer(b"".join(low), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in low])))
-    start, end, _ = word_spans(raw, bounds)
-    h = hash_spans(raw, start, end)
-    newline = raw == 10
-    before = np.concatenate(([0], np.cumsum(newline)))
-    text = np.searchsorted(bounds, start, "right") - 1
-    number = before[start] - before[bounds[text]]
-    first = np.concatenate(([True], (text[1:] != text[:-1]) | (number[1:] != number[:-1]))) if len(h) else np.empty(0, bool)
-    a = np.flatnonzero(first)
-    b = np.append(a[1:], len(h))
-    which = np.repeat(np.arange(len(a)), b - a)
-    order = np.lexsort((h, which))
-    sorted_h, which = h[order], which[order]
-    once = np.concatenate(([True], (sorted_h[1:] != sorted_h[:-1]) | (which[1:] != which[:-1]))) if len(h) else np.empty(0, bool)
-    to = np.searchsorted(which[once], np.arange(len(a) + 1))
-    return text[a], {"line": number[a].astype(np.int32), "h1": span_hashes(prefix_sums(h), a, b).view(np.int64), "h2": span_hashes(prefix_sums(mix(h ^ np.uint64(0x94D049BB133111EB))), a, b).view(np.int64), "print": majority(sorted_h[once], to[:-1], to[1:]).view(np.int64)}
+    """For every line with a word: the text it is in, and LINES: its number there, a 128-bit BLAKE2 digest of its normal form, and the SimHash of
+    its different words, so that one that comes again and again, such as a bullet, doesn't decide it."""
+    text, number, digests, words = [], [], [], []
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.lower().encode().split(b"\n")):
+            if own := line.split():
+                text.append(i)
+                number.append(k)
+                digests.append(hashlib.blake2b(b" ".join(own), digest_size=16).digest())
+                words.append(b" ".join(dict.fromkeys(own)))
+    digests = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int64)
+    start, end, at = word_spans(raw, bounds)
+    prints = wide.majority(hash_spans(raw, start, end), at).view(np.int64)
+    return np.array(text, np.int64), {"line": np.array(number, np.int32), "h1": digests[:, 0], "h2": digests[:, 1]} | {k: prints[:, i] for i, k in enumerate(wide.COLUMNS)}
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -162,231 +107,120 @@ def counts(lines: list[str], kinds: int = 128) -> np.ndarray:
     return out
 
 
-def alike(texts: list[str], percent: int) -> Iterator[np.ndarray]:
-    """The connected groups (of two and more) of texts that are :func:`similar`, as lists of positions."""
+def walk(prints: np.ndarray, most: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+    """The connected groups (of two and more) of rows of ``prints`` that differ in at most ``most`` bits and are ``linked(i, others)``; as positions.
+
+    A breadth-first walk: each position is compared with those that no group has yet.
+    """
+    left = np.arange(len(prints))
+    while len(left) > 1:
+        group, left = [left[:1]], left[1:]
+        queue = list(group[0])
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]).sum(1, dtype=np.int64) <= most
+            if near.any():
+                at = np.flatnonzero(near)
+                near[at] = linked(i, left[at])
+                group.append(left[near])
+                queue.extend(left[near])
+                left = left[~near]
+        group = [x for x in group if len(x)]
+        if len(group) > 1:
+            yield np.concatenate(group)
+
+
+def alike(texts: list[str], prints: np.ndarray, near: Near) -> Iterator[np.ndarray]:
+    """The connected groups (of two and more) of texts with near ``prints`` that are :func:`similar`, as lists of positions."""
     size = np.array([len(x) for x in texts])
-    pairs = counts(texts)
+    pairs: dict[int, np.ndarray] = {}
+
+    def kinds(i: int) -> np.ndarray:
+        if i not in pairs:
+            pairs[i] = counts([texts[i]])[0]
+        return pairs[i]
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
-        most = np.maximum(size[others], size[i]) * (100 - percent) // 100
+        most = np.maximum(size[others], size[i]) * (100 - near.percent) // 100
         out = np.abs(size[others] - size[i]) <= most
-        at = np.flatnonzero(out)
-        out[at] = np.abs(pairs[others[at]] - pairs[i]).sum(1) <= 4 * most[at]
-        at = np.flatnonzero(out)
-        out[at] = [similar(texts[i], texts[j], percent) for j in others[at]]
+        for k in np.flatnonzero(out):
+            out[k] = np.abs(kinds(int(others[k])) - kinds(i)).sum() <= 4 * most[k] and similar(texts[i], texts[others[k]], near.percent)
         return out
 
-    return walk(np.zeros(len(texts), np.uint64), 0, linked)
+    return walk(prints, near.most, linked)
 
 
-class Release:
-    """Lets go of shuffle files that no table needs any more: Spark deletes them once the JVM has collected what refers to them."""
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __call__(self) -> None:
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
-def groups(docs: DataFrame, id_col: str, row_col: str, text_col: str, percent: int, blocks: int, distance: int | None, written: Written) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (id, row, line, h1, h2) of all lines with a word; and (h1, h2, id, row, line), the occurrence kept, of those that have any
-    other or belong to a group of different lines.  ``row_col`` tells apart the documents of one id.
-    Without a ``distance`` lines are compared that share one of their :func:`bands` or :func:`remains`."""
-    spark = docs.sparkSession
-    release = Release(spark)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
-    id_type = slim.schema["id"]
-
-    fields = LINES | ({"bands": pa.binary(), "size": pa.int32()} if distance is None else {})
+def occurrences_of(slim: DataFrame) -> DataFrame:
+    """(id, row, *LINES) of all lines with a word of slim (id, row, text)."""
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, own, texts = batch.columns
         _, bounds = text_bytes(texts)
         rows, parts = [], []
         for low, high in slices(bounds):
-            values = [t.as_py() or "" for t in texts[low:high]]
-            text, made = lines_of(values)
-            if distance is None:
-                lines = [n for x in values for line in x.split("\n") if (n := normal(line))]
-                made["bands"] = [x.tobytes() + remains(line, percent) for x, line in zip(bands(lines), lines, strict=True)] if lines else []
-                made["size"] = np.array([len(x) for x in lines], np.int32)
+            text, made = lines_of([t.as_py() or "" for t in texts[low:high]])
             rows.append(text + low)
             parts.append(made)
         at = pa.array(np.concatenate(rows))
-        arrays = [ids.take(at), own.take(at), *(pa.array(np.concatenate([p[k] for p in parts]) if k != "bands" else [x for p in parts for x in p[k]], kind) for k, kind in fields.items())]
-        return pa.RecordBatch.from_arrays(arrays, names=["id", "row", *fields])
+        arrays = [ids.take(at), own.take(at), *(pa.array(np.concatenate([p[k] for p in parts]), kind) for k, kind in LINES.items())]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "row", *LINES])
 
-    from pyspark.sql import types as T
+    return map_batches(slim, split, T.StructType([slim.schema["id"], slim.schema["row"], *spark_schema(LINES).fields]))
 
-    occurrences = written(map_batches(slim, split, T.StructType([id_type, T.StructField("row", T.LongType()), *spark_schema(fields).fields])))
-    # the first occurrence of each different line
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")).alias("first")
-    own = [F.min(k).alias(k) for k in ("print", *(k for k in fields if k not in LINES))]
-    lines = written(occurrences.groupBy("h1", "h2").agg(*own, first, F.count(F.lit(1)).alias("n")))
-    release()
-    if distance is None:
-        return occurrences, _kept(lines, _edges_by_bands(slim, lines, percent, written, release), written)
-    prints = written(lines.groupBy("print").agg((F.count(F.lit(1)) > 1).alias("several")))
-    release()
-
-    # fingerprints with another one near, or with several lines
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches):
-            bounds = groups_of(batch)
-            x = batch.column(2).to_numpy(zero_copy_only=False)
-            sizes = np.diff(bounds)
-            pair = bounds[:-1][sizes == 2]
-            pair = pair[np.bitwise_count(x[pair].view(np.uint64) ^ x[pair + 1].view(np.uint64)) <= distance]
-            out = [x[pair], x[pair + 1]]
-            for k in np.flatnonzero(sizes > 2):
-                own = x[bounds[k] : bounds[k + 1]]
-                out += [own[g] for g in walk(own.view(np.uint64), distance)]
-            if sum(map(len, out)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["print"])
-
-    small_batches(spark)
-    rows = dealt(prints.select("print"), blocks, distance, written).select("key", "tile", "print").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    found = rows.mapInArrow(near, spark_schema({"print": pa.int64()}))
-    candidates = written(found.union(prints.where("several").select("print")).distinct())
-    release()
-
-    # their texts, out of the documents that hold the first occurrence
-    wanted = written(lines.join(candidates.hint("merge"), "print").select("h1", "h2", "print", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.line").alias("line")))
-    edges = None
-    if not wanted.isEmpty():
-        asked = written(wanted.groupBy("id", "row").agg(F.collect_list(F.struct("line", "h1", "h2", "print")).alias("asked")).withColumnsRenamed({"id": "of", "row": "of_row"}))
-
-        def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            for text, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                parts = (text.as_py() or "").split("\n")
-                for x in own:
-                    if x["line"] < len(parts):
-                        for column, value in zip(out, (x["h1"], x["h2"], x["print"], normal(parts[x["line"]])), strict=True):
-                            column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, texts_schema.values(), strict=True)], names=list(texts_schema))
-
-        texts_schema = {"h1": pa.int64(), "h2": pa.int64(), "print": pa.int64(), "text": pa.string()}
-        matched = slim.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("text", "asked")
-        texts = written(map_batches(matched, fetch, spark_schema(texts_schema)).dropDuplicates(["h1", "h2"]))
-        release()
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in grouped(batches):
-                bounds = groups_of(batch)
-                x = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-                out: list[list[int]] = [[], []]
-                for k in np.flatnonzero(np.diff(bounds) > 1):
-                    low, high = int(bounds[k]), int(bounds[k + 1])
-                    own = batch.column(5).slice(low, high - low).to_pylist()
-                    for g in walk(x[low:high], distance, lambda i, others, own=own: np.fromiter((similar(own[i], own[j], percent) for j in others), bool, len(others))):
-                        out[0] += (low + g[:-1]).tolist()
-                        out[1] += (low + g[1:]).tolist()
-                if out[0]:
-                    ends = [pa.StructArray.from_arrays([batch.column(3).take(pa.array(i)), batch.column(4).take(pa.array(i))], ["h1", "h2"]) for i in out]
-                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-        node = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-        rows = dealt(texts, blocks, distance, written, ("h1", "h2", "text")).select("key", "tile", "print", "h1", "h2", "text")
-        linked = rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(verify, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
-        edges = written(linked.distinct())
-        release()
-    return occurrences, _kept(lines, edges, written)
-
-
-def _edges_by_bands(slim: DataFrame, lines: DataFrame, percent: int, written: Written, release: Release) -> DataFrame:
-    """Edges (a, b) between the lines that share one of their bands or remains and are similar."""
-    small_batches(slim.sparkSession)
-    places = F.sequence(F.lit(0), (F.length("bands") / 4 - 1).cast("int"))
-    keys = F.transform(places, lambda i: F.xxhash64(F.least(i, F.lit(BANDS)), F.substring(F.col("bands"), 4 * i + 1, F.lit(4))))
-    keyed = lines.select("h1", "h2", "size", F.explode(keys).alias("key"))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # lines whose next in size, under some key, isn't too long or too short for them; keys of the same such lines become one
-        for batch in grouped(batches, 1):
-            key, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            close = (key[1:] == key[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:])
-            hit = np.zeros(len(key), bool)
-            hit[1:] |= close
-            hit[:-1] |= close
-            if hit.any():
-                at = np.flatnonzero(hit)
-                h1, h2 = (batch.column(i).take(pa.array(at)) for i in (2, 3))
-                new = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1])))
-                own = mix(h1.to_numpy().view(np.uint64) ^ mix(h2.to_numpy().view(np.uint64)))
-                group = np.repeat(mix(np.add.reduceat(own, new)), np.diff(np.append(new, len(at)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(group), h1, h2], names=["key", "h1", "h2"])
-
-    sorted_rows = keyed.select("key", "size", "h1", "h2").repartition("key").sortWithinPartitions("key", "size")
-    found = written(sorted_rows.mapInArrow(near, spark_schema({"key": pa.int64(), "h1": pa.int64(), "h2": pa.int64()})).distinct())
-    release()
-    wanted = found.select("h1", "h2").distinct()
-    asked = lines.join(wanted.hint("merge"), ["h1", "h2"]).select("h1", "h2", F.col("first.id").alias("of"), F.col("first.row").alias("of_row"), F.col("first.line").alias("line"))
-    asked = written(asked.groupBy("of", "of_row").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("asked")))
-    texts_schema = {"h1": pa.int64(), "h2": pa.int64(), "text": pa.string()}
+def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) -> DataFrame:
+    """Edges (a, b) between the nodes of ``lines`` (node, first, *wide.COLUMNS: different lines) whose closure is that of all links of ``near``."""
+    small_batches(slim.sparkSession)
+    found = wide.groups(lines.select("node", *wide.COLUMNS), written, near.width, near.tables, near.most_64)
+    wanted = lines.join(found.select("node").distinct(), "node", "left_semi")
+    place = F.struct("node", F.col("first.line").alias("line"), *wide.COLUMNS)
+    asked = written(wanted.groupBy(F.col("first.id").alias("of"), F.col("first.row").alias("of_row")).agg(F.collect_list(place).alias("asked")))
+    schema = {"node": pa.int64(), "text": pa.string()} | dict.fromkeys(wide.COLUMNS, pa.int64())
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], []]
-        for text, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        asked = batch.column(1)
+        n = np.diff(asked.offsets.to_numpy())
+        flat = asked.flatten()
+        numbers, texts = iter(flat.field("line").to_pylist()), []
+        for text, k in zip(batch.column(0), n.tolist(), strict=True):
             parts = (text.as_py() or "").split("\n")
-            for x in own:
-                if x["line"] < len(parts):
-                    for column, value in zip(out, (x["h1"], x["h2"], normal(parts[x["line"]])), strict=True):
-                        column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, texts_schema.values(), strict=True)], names=list(texts_schema))
+            texts += [normal(parts[next(numbers)]) for _ in range(k)]
+        columns = {"node": flat.field("node"), "text": pa.array(texts, pa.string())} | {k: flat.field(k) for k in wide.COLUMNS}
+        return pa.RecordBatch.from_arrays([columns[k] for k in schema], names=list(schema))
 
-    matched = slim.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("text", "asked")
-    texts = written(map_batches(matched, fetch, spark_schema(texts_schema)).dropDuplicates(["h1", "h2"]))
-    release()
+    matched = slim.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("text", "asked")
+    # rows with one id and one text give their lines again
+    texts = written(map_batches(matched, fetch, spark_schema(schema)).dropDuplicates(["node"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches):
-            bounds = groups_of(batch)
-            out: list[list[int]] = [[], []]
-            for k in np.flatnonzero(np.diff(bounds) > 1):
-                low, high = int(bounds[k]), int(bounds[k + 1])
-                for g in alike(batch.column(4).slice(low, high - low).to_pylist(), percent):
-                    out[0] += (low + g[:-1]).tolist()
-                    out[1] += (low + g[1:]).tolist()
+        for batch in grouped(batches, 1):
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = wide.prints_in(batch, 3)
+            out: list[list[np.ndarray]] = [[], []]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                for g in alike(batch.column(2).slice(low, high - low).to_pylist(), prints[low:high], near):
+                    out[0].append(node[low + g[:-1]])
+                    out[1].append(node[low + g[1:]])
             if out[0]:
-                ends = [pa.StructArray.from_arrays([batch.column(2).take(pa.array(i)), batch.column(3).take(pa.array(i))], ["h1", "h2"]) for i in out]
-                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-    # large keys are dealt out as tiles of two chunks
-    chunks = F.ceil(F.col("n") / TILE).cast("int")
-    hot = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).select("key", chunks.alias("chunks")))
-    rows = found.join(hot, "key", "left")
-    mine = F.pmod(F.xxhash64("h1", "h2", F.lit(7)), F.col("chunks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, mine) * F.col("chunks") + F.greatest(c, mine))
-    rows = rows.select("key", "h1", "h2", F.explode(F.coalesce(tiles, F.array(F.lit(0)))).alias("tile"))
-    rows = rows.join(texts.hint("merge"), ["h1", "h2"]).select("key", "tile", "h1", "h2", "text")
-    from pyspark.sql import types as T
-
-    node = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-    linked = rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(verify, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
-    edges = written(linked.distinct())
-    release()
-    return edges
-
-
-def _kept(lines: DataFrame, edges: DataFrame | None, written: Written) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b"])
+
+    rows = found.join(texts, "node").select("key", "node", "text", *wide.COLUMNS)
+    linked = rows.repartition("key").sortWithinPartitions("key").mapInArrow(verify, spark_schema({"a": pa.int64(), "b": pa.int64()}))
+    return written(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def kept_of(lines: DataFrame, edges: DataFrame, written: Written) -> DataFrame:
     """(h1, h2, id, row, line): the occurrence kept of lines that have any other or belong to a group of different lines."""
-    # joins with tables of all lines or documents shuffle at any size, so that a run on little data shows what one on much does
-    keys = ["h1", "h2"]
-    if edges is None or edges.isEmpty():
-        kept = lines.where("n > 1").select(*keys, "first.id", "first.row", "first.line")
-    else:
-        labels = components(edges, written).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "label")
-        labels = written(labels.join(lines.select(*keys, "first"), keys))
-        tops = written(labels.groupBy("label").agg(F.min("first").alias("top")))
-        grouped_lines = written(labels.join(tops, "label").select(*keys, F.col("top.id").alias("id"), F.col("top.row").alias("row"), F.col("top.line").alias("line")))
-        alone = lines.where("n > 1").join(grouped_lines.select(*keys).hint("merge"), keys, "left_anti").select(*keys, "first.id", "first.row", "first.line")
-        kept = grouped_lines.union(alone)
-    return written(kept)
+    keep = ("h1", "h2", "first.id", "first.row", "first.line")
+    if edges.isEmpty():
+        return written(lines.where("n > 1").select(*keep))
+    labels = components(edges, written)
+    labels = written(labels.join(lines.select("node", "h1", "h2", "first"), "node"))
+    tops = written(labels.groupBy("label").agg(F.min("first").alias("first")))
+    grouped_lines = labels.drop("first").join(tops, "label").select(*keep)
+    alone = lines.where("n > 1").join(labels.select("node"), "node", "left_anti").select(*keep)
+    return written(grouped_lines.union(alone))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, as_: str, written: Written) -> DataFrame:
@@ -398,14 +232,12 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, as_: str, written: Wri
     return known.union(written(unknown.withColumn(as_, F.monotonically_increasing_id())))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, blocks: int = 5, distance: int | None = 3, as_: str = "lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near(), as_: str = "lines") -> DataFrame:
     """docs with the texts' repeated lines taken out, columns unchanged but for ``text_col``, and a struct column ``as_``: ``n`` lines before
     (split at \\n; null text: 0), ``kept`` lines after.
 
-    Lines link if their normal forms (:func:`normal`) are equal, or if the fingerprints of their words differ in ``distance`` bits or fewer and
-    their edit similarity is at least ``percent``.  That misses most pairs of one changed word; with ``distance`` None lines link that share one
-    of their :func:`bands` or :func:`remains` and have that edit similarity.  Of each connected group over the whole corpus one occurrence stays: that with the smallest id, then the
-    first in its text.  Lines without a word always stay.
+    Lines link if their normal forms (:func:`normal`) are equal, or if they are near and similar as :class:`Near` says.  Of each connected group over the
+    whole corpus one occurrence stays: that with the smallest id, then the first in its text.  Lines without a word always stay.
 
     Copies count once from the first shuffle on; links are searched among different lines only, by block keys; texts of lines are fetched
     for those with a near fingerprint.  Null text stays null, empty stays empty.  Rows with one id and one text count as one document, so each keeps
@@ -418,15 +250,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     written = Written(docs.sparkSession, "lines")
     row, of, of_row, drop = (free_name(docs.columns, x) for x in ("row", "of", "of_row", "gone"))
     columns, docs = docs.columns, numbered(docs, id_col, text_col, row, written)
-    occurrences, kept = groups(docs, id_col, row, text_col, percent, blocks, distance, written)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    occurrences = written(occurrences_of(slim))
+    # the first occurrence of each different line
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")).alias("first")
+    lines = occurrences.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("n"), *(F.min(k).alias(k) for k in wide.COLUMNS))
+    lines = written(lines.withColumn("node", F.monotonically_increasing_id()))
+    kept = kept_of(lines, edges_of(slim, lines, near, written), written)
     stays = kept.select("h1", "h2", F.col("id").alias("kept_id"), F.col("row").alias("kept_row"), F.col("line").alias("kept_line"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")) & (F.col("line") == F.col("kept_line"))
-    gone = occurrences.join(stays.hint("merge"), ["h1", "h2"]).where(~same)
+    gone = occurrences.select("id", "row", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(~same)
     gone = written(gone.groupBy("id", "row").agg(F.collect_set("line").alias("gone")))
-    Release(docs.sparkSession)()
+    written.drop(occurrences, lines)
     gone = gone.select(F.col("id").alias(of), F.col("row").alias(of_row), F.col("gone").alias(drop))
-    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(of)) & (F.col(row) == F.col(of_row)), "left").drop(of, of_row, row)
-
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(row) == F.col(of_row)), "left").drop(of, of_row, row)
     return _with_lines(joined, columns, text_col, drop, as_)
 
 
@@ -444,6 +281,6 @@ def _with_lines(joined: DataFrame, columns: list[str], text_col: str, drop: str,
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`dedup_lines`, columns unchanged, without the documents that it leaves without a word though they had one."""
     name = free_name(docs.columns, "lines")
-    out = dedup_lines(docs, id_col, text_col, distance=None, as_=name)
+    out = dedup_lines(docs, id_col, text_col, as_=name)
     emptied = (F.col(f"{name}.kept") < F.col(f"{name}.n")) & ~F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).drop(name)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,14 @@ from sluice.llm.common import Written, annotate, map_batches, mix, slices, small
 
 #: Places of the hashed vectors, the dimensions they are projected to, and the bits of each in a curve key.
 PLACES, DIMENSIONS, BITS = 1024, 4, 12
-#: Parts of texts whose ids a worker remembers, and the characters of the longest it does.
-REMEMBERED, LONGEST = 800_000, 48
-#: Words of letters that are encoded as one text.
-JOINED = 128
-#: Marks that may follow a word at once.
-MARKS = tuple(".,;:!?")
+#: Pre-tokens whose ids a worker remembers, and the characters of the longest it does; pre-tokens that are encoded as one text.
+REMEMBERED, LONGEST, JOINED = 400_000, 48, 128
+#: Documents whose vectors are held at once.
+VECTORS = 512
+#: Code points below this are told apart by tables here; parts of texts with others, or whose lower case is such, go to the tokenizer as they stand.
+PLAIN = 0x250
+#: The endings that the tokenizer splits off, and how its special tokens begin.
+ENDINGS, SPECIAL = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"), "<|"
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -61,93 +65,136 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def projection() -> np.ndarray:
     """Fixed pseudo-random directions, PLACES x DIMENSIONS."""
     h = mix(np.arange(1, PLACES * DIMENSIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.where(h >> np.uint64(63), 1.0, -1.0).reshape(PLACES, DIMENSIONS)
+    return np.where(h >> np.uint64(63), np.float32(1), np.float32(-1)).reshape(PLACES, DIMENSIONS)
 
 
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """The curve key of each document's ids: hashed counts, scaled to length 1, projected, and cut into 2**BITS steps per dimension."""
-    vectors = np.zeros((len(ids), PLACES))
-    for row, own in zip(vectors, ids, strict=True):
-        place = (mix(own.astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
-        row += np.sqrt(np.bincount(place, minlength=PLACES))
-    vectors /= np.maximum(1e-9, np.sqrt((vectors * vectors).sum(1, keepdims=True)))
-    spread = np.arctan(vectors @ projection()) / np.pi + 0.5
-    return hilbert_keys(np.clip(spread * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
+    out = [np.empty(0, np.int64)]
+    for at in range(0, len(ids), VECTORS):
+        part = ids[at : at + VECTORS]
+        vectors = np.zeros((len(part), PLACES), np.float32)
+        for row, own in zip(vectors, part, strict=True):
+            row += np.sqrt(np.bincount(places()[own], minlength=PLACES))
+        vectors /= np.maximum(1e-9, np.sqrt((vectors * vectors).sum(1, keepdims=True)))
+        spread = np.arctan(vectors @ projection()) / np.pi + 0.5
+        out.append(hilbert_keys(np.clip(spread * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)))
+    return np.concatenate(out)
+
+
+@functools.lru_cache(maxsize=1)
+def places() -> np.ndarray:
+    """The place in the hashed vectors of each 16-bit id."""
+    return (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(54)).astype(np.int16)
+
+
+def spans(chars: list[str]) -> str:
+    """A class of characters for a pattern."""
+    code = sorted(map(ord, chars))
+    first = [c for i, c in enumerate(code) if not i or code[i - 1] != c - 1]
+    last = [c for i, c in enumerate(code) if i + 1 == len(code) or code[i + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last, strict=True))
+
+
+@functools.lru_cache(maxsize=1)
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Of lower-case text: its pre-tokens, the same for ASCII alone; and what texts hold that these two don't know."""
+    plain = [c for c in map(chr, range(PLAIN)) if len(c.lower()) == 1 and ord(c.lower()) < PLAIN]
+    kind = {c: unicodedata.category(c)[0] for c in plain}
+    space = {*map(chr, range(0x09, 0x0E)), " ", "\x85", "\xa0"}
+    ends = "|".join(ENDINGS)
+
+    def pattern(below: int) -> re.Pattern:
+        own = [c for c in plain if ord(c) < below and c not in space]
+        letters, numbers, rest = ([c for c in own if (kind[c] if kind[c] in "LN" else "") == k] for k in ("L", "N", ""))
+        return re.compile(f"[{spans(letters)}]+|{ends}|[{spans(numbers)}]|[{spans(rest)}]+")
+
+    return pattern(PLAIN), pattern(0x80), re.compile(f"[^{spans(plain)}]|{re.escape(SPECIAL)}")
+
+
+class Memo(dict):
+    """A dictionary that gives None for what it doesn't hold, and notes it in ``new``."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, key: str) -> None:
+        self.new.add(key)
 
 
 class Ids:
-    """The ids of whole texts, as unsigned 16-bit numbers, by a tokenizer file whose pre-tokens never hold white space."""
+    """The ids of whole texts, as unsigned 16-bit numbers, by the tokenizer of a file like word_bpe_49k.json: NFC, lower case, pre-tokens of
+    letters, of one number, and of marks, white space dropped.
+
+    Pre-tokens are found here, and their ids remembered, since the tokenizer looks at each by itself.  Parts between spaces that hold any character
+    that isn't plain, or what may be a special token, are encoded whole, as they stand.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        # for pre-tokens with spaces between
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         #: whether an id ends a word
         self.last = np.zeros(1 << 16, bool)
         self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Memo()
+
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text; for parts that aren't plain a space and the part."""
+        every, ascii_, odd = patterns()
+        if text.isascii() and SPECIAL not in text:
+            return ascii_.findall(text.lower())
+        if not odd.search(text):
+            return every.findall(text.lower())
+        out: list[str] = []
+        for part in text.replace("\n", " ").split(" "):
+            if odd.search(part):
+                out.append(" " + part)
+            elif part:
+                out += every.findall(part.lower())
+        return out
 
     def __call__(self, texts: list[str], last: int) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                kept = {p: known[p] for p in set().union(*split).difference(new)}
-                known.clear()
-                known.update(kept)
-            self.learn(new)
+        split = [self.pretokens(t) for t in texts]
+        found = [list(map(known.__getitem__, parts)) for parts in split]
+        new, known.new = known.new, set()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        made: dict[str, bytes] = {}
+        self.encode(sorted(p for p in new if p[0] != " "), made, JOINED)
+        self.encode([p for p in new if p[0] == " "], made, 1)
         end = np.array([last], np.uint16).tobytes()
-        out = [b"".join(map(known.__getitem__, parts)) + end for parts in split]
-        for name in new:
-            if len(name) > LONGEST:
-                del known[name]
+        out = [b"".join([made[p] if x is None else x for p, x in zip(parts, own, strict=True)]) + end for parts, own in zip(split, found, strict=True)]
+        known.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Puts the ids of parts without white space in ``known``.
-
-        A letters-only part and a mark after it are two pre-tokens, and case is dropped; so most parts go back to words that others share.
-        """
-        known, stems = self.known, {}
-        for part in parts:
-            stem, mark = (part[:-1], part[-1]) if part[-1:] in MARKS else (part, "")
-            if stem.isalpha():
-                stems[part] = (stem.lower() if stem.isascii() else stem, mark)
-            else:
-                stems[part] = (part, "")
-        words = {x for pair in stems.values() for x in pair}.difference(known)
-        self.encode([x for x in words if x.isalpha()], JOINED)
-        self.encode([x for x in words if not x.isalpha()], 1)
-        for part, (stem, mark) in stems.items():
-            known[part] = known[stem] + known[mark]
-        for name in words:
-            if len(name) > LONGEST and name not in parts:
-                del known[name]
-
-
-    def encode(self, names: list[str], joined: int) -> None:
-        """Puts the ids of parts in ``known``; ``joined`` words of letters go as one text, whose ids are cut after those that end a word."""
+    def encode(self, names: list[str], made: dict[str, bytes], joined: int) -> None:
+        """Puts ids in ``made``; ``joined`` pre-tokens go as one text, whose ids are cut after those that end a word."""
         texts = [" ".join(names[at : at + joined]) for at in range(0, len(names), joined)] if joined > 1 else names
-        for at in range(0, len(texts), 4096):
-            block = texts[at : at + 4096]
-            for i, found in enumerate(self.tokenizer.encode_batch_fast(block, add_special_tokens=False), at):
+        tokenizer = self.words if joined > 1 else self.tokenizer
+        for at in range(0, len(texts), 1024):
+            block = texts[at : at + 1024]
+            for i, found in enumerate(tokenizer.encode_batch_fast(block, add_special_tokens=False), at):
                 ids = np.array(found.ids, np.uint16)
                 flat = ids.tobytes()
                 if joined == 1:
-                    self.known[names[i]] = flat
+                    made[names[i]] = flat
                     continue
                 own = names[i * joined : (i + 1) * joined]
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) != len(own) or ends[-1] != len(ids):
-                    self.encode(own, 1)
+                    self.encode(own, made, 1)
                     continue
                 low = 0
                 for name, high in zip(own, (2 * ends).tolist(), strict=True):
-                    self.known[name] = flat[low:high]
+                    made[name] = flat[low:high]
                     low = high
 
 

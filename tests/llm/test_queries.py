@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import byte_bpe, chat, classifier, line_dedup, nearest, packing, quality_rules, registry, simhash, token_counts, url_filter
+from sluice.llm import byte_bpe, chat, classifier, line_dedup, nearest, packing, quality_rules, registry, simhash, token_counts, url_filter, wide
 from sluice.llm.common import Written
 from sluice.llm.components import components
 
@@ -123,15 +123,25 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert len(set(labels.values())) == len({v for v in want.values() if list(want.values()).count(v) > 1})
 
 
-def brute_lines(rows, percent=80):
+def line_links(names, near=line_dedup.Near()):
+    """All links of lines by comparing every two, as the docstring of Near defines them."""
+    prints = {x: np.array([line_dedup.lines_of([x])[1][k][0] for k in wide.COLUMNS]).view(np.uint64) for x in names}
+    keys = {x: wide.block_keys(p[None], near.width, near.tables)[0] for x, p in prints.items()}
+    word = wide.weights(near.width, near.tables)[1]
+
+    def linked(a, b):
+        differ = np.bitwise_count(prints[a] ^ prints[b])
+        met = (keys[a] == keys[b]) & (differ[word] <= near.most_64)
+        return met.any() and differ.sum() <= near.most and line_dedup.similar(a, b, near.percent)
+
+    return [(a, b) for a in names for b in names if a < b and linked(a, b)]
+
+
+def brute_lines(rows):
     """Kept (row, line) by comparing every two lines."""
     lines = [(i, j, line_dedup.normal(x)) for i, (_, t, *_) in enumerate(rows) for j, x in enumerate((t or "").split("\n")) if x.split()]
-    prints = {}
-    for _, _, x in lines:
-        _, made = line_dedup.lines_of([x])
-        prints[x] = int(made["print"][0]) & (2**64 - 1)
-    names = list(prints)
-    links = [(a, b) for a in names for b in names if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3 and line_dedup.similar(a, b, percent)]
+    names = list({x for _, _, x in lines})
+    links = line_links(names)
     group = groups_of(links, names)
     first = {}
     for i, j, x in lines:
@@ -173,29 +183,53 @@ def test_line_dedup_odd(spark, docs):
 
 
 def test_line_dedup_by_edits(spark):
-    """Against brute force on edit similarity alone: lines with one or two changed words or letters, from short to long."""
+    """Lines with one or two changed words, from 20 to 40 words: links by edit similarity alone that the blocks find, and the lines kept."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
     lines = []
-    for n in (1, 2, 3, 8, 10, 20, 40) * 6:
+    for n in (20, 30, 40) * 20:
         parts = [word() for _ in range(n)]
         other = list(parts)
-        for _ in range(1 if n < 20 else 2):
-            other[rng.randrange(n)] = word() if n > 3 else other[0] + "s"
+        for _ in range(1 if n < 40 else 2):
+            other[rng.randrange(n)] = word()
         lines += [" ".join(parts), " ".join(other)]
-    names = sorted({line_dedup.normal(x) for x in lines})
-    links = [(a, b) for a in names for b in names if a < b and line_dedup.similar(a, b, 80)]
-    group = groups_of(links, names)
+    every = [(a, b) for a, b in zip(lines[::2], lines[1::2], strict=True) if a != b and line_dedup.similar(a, b, 80)]
+    found = line_links(lines)
+    assert len(found) >= 0.75 * len(every)
+    group = groups_of(found, lines)
     first = {}
     for i, x in enumerate(lines):
-        first.setdefault(group[line_dedup.normal(x)], i)
-    assert len(links) > 25
+        first.setdefault(group[x], i)
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    got = {r.doc_id for r in line_dedup.dedup_lines(df, distance=None).collect() if r.lines.kept}
-    assert len(got ^ set(first.values())) <= len(links) // 20
-    short = [x for x in names if len(x) <= line_dedup.SHORT]
-    shared = lambda a, b: set(np.frombuffer(line_dedup.remains(a, 80), "<u4")) & set(np.frombuffer(line_dedup.remains(b, 80), "<u4"))
-    assert all(shared(a, b) for a in short for b in short if line_dedup.similar(a, b, 80))
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines.kept} == set(first.values())
+
+
+def test_line_digests():
+    """Words that polynomial hashes modulo 2**64 don't tell apart make different lines."""
+    a = "ab"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    _, made = line_dedup.lines_of([a, a.translate(str.maketrans("ab", "ba"))])
+    assert len(set(made["h1"].tolist())) == len(set(made["h2"].tolist())) == 2
+
+
+def test_wide_tiles(spark, monkeypatch):
+    """Keys dealt out as tiles give the groups of brute force."""
+    monkeypatch.setattr(wide, "TILE", 40)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, (3, 4))
+    prints = np.concatenate([base.repeat([400, 30, 1], axis=0) ^ (1 << rng.integers(0, 62, (431, 4))), rng.integers(0, 1 << 62, (300, 4))])
+    written = Written(spark, "test")
+    df = written(spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, p0 long, p1 long, p2 long, p3 long"))
+    found = wide.groups(df, written, 19, 1, 16).toPandas()
+    sizes = found.groupby("key").size()
+    assert sizes.min() > 1 and sizes.max() <= 200
+    keys, differ = wide.block_keys(prints.view(np.uint64), 19, 1), np.bitwise_count(prints[:, None] ^ prints[None])
+    met = ((keys[:, None] == keys[None]) & (differ[:, :, wide.weights(19, 1)[1]] <= 16)).any(2)
+    links = [(i, j) for i in range(len(prints)) for j in range(i) if met[i, j]]
+    paths = [(g[0], x) for g in found.groupby("key").node.apply(list) for x in g]
+    want, got = groups_of(links, range(len(prints))), groups_of(paths, range(len(prints)))
+    assert {frozenset(k for k in want if want[k] == v) for v in want.values()} == {frozenset(k for k in got if got[k] == v) for v in got.values()}
 
 
 def test_line_dedup_rows_of_one_id(spark):
