@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import annotate, free_name, group_sums, hash_spans, mix, prefix_sums, slices, span_hashes, text_bytes, word_spans
+from sluice.llm.common import annotate, free_name, group_sums, mix, prefix_sums, slices, span_hashes, text_bytes, word_spans
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -23,7 +23,6 @@ class Limits:
 
     Suffix-array rule: repeated substrings of ``min_repeat`` words or more may cover ``max_covered_percent`` of a text's words, and
     the longest (counted in words) may be up to ``max_longest_percent`` of them, or up to ``free_repeat`` words in any text.
-    ``max_symbol_percent``: symbols against code points of words.
     """
 
     min_words: int = 20
@@ -33,7 +32,6 @@ class Limits:
     max_covered_percent: int = 40
     max_longest_percent: int = 25
     free_repeat: int = 50
-    max_symbol_percent: int = 10
 
 
 def word_ranks(h: np.ndarray, doc: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -129,6 +127,29 @@ def maximal_repeats(words: list[str], least: int = 2) -> list[tuple[list[int], i
     return sorted(out)
 
 
+def repeated_windows(ids: np.ndarray, doc: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Which of the windows of ``size`` words that start at ``at`` are found twice or more in their text; windows are compared whole, by ranks of their halves."""
+    if not len(at):
+        return np.empty(0, bool)
+    rank, reach = ids, 1
+    while reach < size:
+        step = min(reach, size - reach)  # the second part may overlap the first
+        rank = np.unique(rank[: len(rank) - step] * (len(ids) + 1) + rank[step:], return_inverse=True)[1]
+        reach += step
+    key = doc[at] * (len(ids) + 1) + rank[at]
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[back] > 1
+
+
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that are equal to an earlier one."""
+    lines = text.split(b"\n")
+    if len(lines) == 1:
+        return 0
+    inked = [x for x in lines if x and not x.isspace()]
+    return len(inked) - len(set(inked))
+
+
 def measure(raw: np.ndarray, bounds: np.ndarray, limits: Limits) -> dict[str, np.ndarray]:
     """FIELDS for the texts between ``bounds``."""
     start, end, at = word_spans(raw, bounds)
@@ -141,8 +162,13 @@ def measure(raw: np.ndarray, bounds: np.ndarray, limits: Limits) -> dict[str, np
     symbols = group_sums(symbol[raw], bounds)
     word_chars = group_sums(chars[end] - chars[start], at)
     doc = np.repeat(np.arange(len(n)), n)
-    h = hash_spans(raw, start, end)
-    prefix = prefix_sums(h)
+    data = raw.tobytes()
+    texts = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    # words by number, so that no two different ones are taken for the same
+    split = [t.split() for t in texts]
+    number = {w: i for i, w in enumerate(set().union(*split))}
+    ids = np.fromiter((i for part in split for i in map(number.__getitem__, part)), np.int64, words)
+    h = mix(ids.astype(np.uint64) + np.uint64(1))
     ends = at[1:]
 
     def covered(position: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -152,13 +178,8 @@ def measure(raw: np.ndarray, bounds: np.ndarray, limits: Limits) -> dict[str, np
         return group_sums(np.cumsum(edge[:-1]) > 0, at)
 
     window = np.flatnonzero(np.arange(words) + limits.window <= ends[doc]) if words else np.empty(0, np.int64)
-    key = span_hashes(prefix, window, window + limits.window) ^ mix(doc[window].astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(window), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    repeated = covered(window[order[twice]], np.full(int(twice.sum()), limits.window))
+    twice = repeated_windows(ids, doc, ends, window, limits.window)
+    repeated = covered(window[twice], np.full(int(twice.sum()), limits.window))
 
     sa, lcp = sparse_suffixes(h, doc, ends, limits.min_repeat)
     longest, spans, lengths = np.zeros(len(n), np.int64), [], []
@@ -169,24 +190,10 @@ def measure(raw: np.ndarray, bounds: np.ndarray, limits: Limits) -> dict[str, np
         longest[d] = max(longest[d], length)
     spread = covered(np.concatenate(spans), np.concatenate(lengths)) if spans else np.zeros(len(n), np.int64)
 
-    # lines: after each \n and at each text's start; those with a word
-    newline = np.flatnonzero(raw == 10)
-    line = np.unique(np.concatenate((bounds[:-1][np.diff(bounds) > 0], newline + 1)))
-    line = line[line < len(raw)]
-    # a \n at the end of one text starts no line of the next, which starts there anyway
-    stop = np.minimum(np.append(line[1:], len(raw)), len(raw))
-    stop = stop - (raw[stop - 1] == 10) if len(line) else stop
-    inked = np.searchsorted(start, stop) > np.searchsorted(start, line)
-    line, stop = line[inked], stop[inked]
-    whose = np.searchsorted(bounds, line, "right") - 1
-    key = hash_spans(raw, line, stop) ^ mix(whose.astype(np.uint64) + np.uint64(1))
-    _, firsts = np.unique(key, return_index=True)
-    dup = np.ones(len(line), bool)
-    dup[firsts] = False
-    dups = np.bincount(whose[dup], minlength=len(n))
+    dups = np.array([repeated_lines(t) for t in texts], np.int64)
 
     base = (n < limits.min_words) | (100 * repeated > limits.max_repeat_percent * n)
-    bad = (100 * spread > limits.max_covered_percent * n) | ((longest > limits.free_repeat) & (100 * longest > limits.max_longest_percent * n)) | (100 * symbols > limits.max_symbol_percent * word_chars)
+    bad = (100 * spread > limits.max_covered_percent * n) | ((longest > limits.free_repeat) & (100 * longest > limits.max_longest_percent * n))
     return {"n_words": n, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeated, "repeat_covered": spread, "longest_repeat": longest, "base_failed": base, "kept": ~base & ~bad}
 
 

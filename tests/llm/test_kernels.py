@@ -72,7 +72,7 @@ def brute_rules(text, limits=quality_rules.Limits()):
     chars = sum(map(len, w))
     repeat, spread = covered(8), covered(limits.min_repeat)
     failed = n < 20 or 100 * repeat > 30 * n
-    bad = 100 * spread > limits.max_covered_percent * n or (longest > limits.free_repeat and 100 * longest > limits.max_longest_percent * n) or 100 * symbols > limits.max_symbol_percent * chars
+    bad = 100 * spread > limits.max_covered_percent * n or (longest > limits.free_repeat and 100 * longest > limits.max_longest_percent * n)
     return {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "repeat_covered": spread, "longest_repeat": longest, "base_failed": failed, "kept": not failed and not bad}
 
 
