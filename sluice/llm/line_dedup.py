@@ -93,9 +93,41 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+#: How many words ahead :func:`at_most` looks for the next common one.
+AHEAD = 6
+
+
+def at_most(a: str, b: str, enough: int) -> int:
+    """A number of edits that makes b of a, not always the least: words in common are walked through, what differs between two counts by its longer side;
+    over ``enough`` if that is over it."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = edits = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for far in range(1, AHEAD + 1):
+            found = next((k for k in range(far + 1) if i + k < n and j + far - k < m and x[i + k] == y[j + far - k]), None)
+            if found is not None:
+                break
+        else:
+            found, far = min(AHEAD // 2, n - i, m - j), AHEAD
+            far = 2 * found
+        left, right = x[i : i + found], y[j : j + far - found]
+        i, j = i + found, j + far - found
+        edits += max(sum(map(len, left)) + len(left), sum(map(len, right)) + len(right))
+        if edits > enough:
+            return edits
+    left, right = x[i:], y[j:]
+    return edits + max(sum(map(len, left)) + len(left), sum(map(len, right)) + len(right))
+
+
 def similar(a: str, b: str, percent: int) -> bool:
     """Whether 1 - edits / characters of the longer is at least ``percent`` of a hundred."""
-    return within(a, b, max(len(a), len(b)) * (100 - percent) // 100)
+    most = max(len(a), len(b)) * (100 - percent) // 100
+    return abs(len(a) - len(b)) <= most and (at_most(a, b, most) <= most or within(a, b, most))
 
 
 def counts(lines: list[str], kinds: int = 128) -> np.ndarray:
@@ -144,7 +176,8 @@ def alike(texts: list[str], prints: np.ndarray, near: Near) -> Iterator[np.ndarr
         most = np.maximum(size[others], size[i]) * (100 - near.percent) // 100
         out = np.abs(size[others] - size[i]) <= most
         for k in np.flatnonzero(out):
-            out[k] = np.abs(kinds(int(others[k])) - kinds(i)).sum() <= 4 * most[k] and similar(texts[i], texts[others[k]], near.percent)
+            a, b, own = texts[i], texts[others[k]], int(most[k])
+            out[k] = at_most(a, b, own) <= own or (np.abs(kinds(int(others[k])) - kinds(i)).sum() <= 4 * own and within(a, b, own))
         return out
 
     return walk(prints, near.most, linked)
@@ -198,8 +231,17 @@ def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) ->
             prints = wide.prints_in(batch, 3)
             out: list[list[np.ndarray]] = [[], []]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
-                for g in alike(batch.column(2).slice(low, high - low).to_pylist(), prints[low:high], near):
+            last = np.append(first[1:], len(key))
+            pair = first[last - first == 2]
+            pair = pair[np.bitwise_count(prints[pair] ^ prints[pair + 1]).sum(1) <= near.most]
+            texts = batch.column(2)
+            two = zip(texts.take(pa.array(pair)).to_pylist(), texts.take(pa.array(pair + 1)).to_pylist(), strict=True)
+            pair = pair[np.fromiter((similar(a, b, near.percent) for a, b in two), bool, len(pair))]
+            if len(pair):
+                out[0].append(node[pair])
+                out[1].append(node[pair + 1])
+            for low, high in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
+                for g in alike(texts.slice(low, high - low).to_pylist(), prints[low:high], near):
                     out[0].append(node[low + g[:-1]])
                     out[1].append(node[low + g[1:]])
             if out[0]:
