@@ -59,15 +59,6 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
-#: Every host with ruled pages is a seed, with their counts.
-ALL_SEEDS = url_filter.Spread(seed_percent=0)
-
-
-def op4_url_filter_all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_url_filter without its cut at 90 percent, which leaves hosts of mixed languages without any seed."""
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, ALL_SEEDS)
-
-
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -101,7 +92,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_chat_format, op2_line_dedup, op3_quality_classifier, op4_url_filter, op4_url_filter_all_seeds, op5_packing, op6_byte_bpe, op7_quality_rules, op8_token_counts, op9_nearest, op10_simhash)
+    own = (op1_chat_format, op2_line_dedup, op3_quality_classifier, op4_url_filter, op5_packing, op6_byte_bpe, op7_quality_rules, op8_token_counts, op9_nearest, op10_simhash)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -161,11 +152,13 @@ WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(ur
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM p
 ), d AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r
 ), h AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM d WHERE host <> '' GROUP BY host
-), seeds AS (SELECT 0 AS kind, host, a AS weight FROM h WHERE 100 * a >= {spread.seed_percent} * n AND a > 0
-  UNION ALL SELECT 1, host, b FROM h WHERE 100 * b >= {spread.seed_percent} * n AND b > 0
+), seeds AS (SELECT 0 AS kind, host, a AS weight FROM h WHERE a > 0 UNION ALL SELECT 1, host, b FROM h WHERE b > 0
 ), start AS (SELECT kind, host, weight / sum(weight) OVER (PARTITION BY kind) * {1 - spread.damping} AS score FROM seeds
 ), l AS (SELECT host AS f, lower(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1))) AS t FROM p WHERE host <> ''
-), pairs AS (SELECT f, t, count(*)::DOUBLE AS n FROM l WHERE f <> t GROUP BY f, t
+), x AS (SELECT string_split(host, '.') AS y, n FROM h
+), i AS (SELECT y, n, unnest(range(1, len(y) - 1)) AS k FROM x
+), up AS (SELECT array_to_string(y[k:], '.') AS f, array_to_string(y[k + 1:], '.') AS t, n FROM i
+), pairs AS (SELECT f, t, sum(n)::DOUBLE AS n FROM (SELECT f, t, 1 AS n FROM l WHERE f <> t UNION ALL SELECT f, t, n FROM up UNION ALL SELECT t, f, n FROM up) GROUP BY f, t
 ), both_ways AS (SELECT 0 AS kind, f, t, n FROM pairs UNION ALL SELECT 1, t, f, n FROM pairs
 ), edges AS (SELECT kind, f, t, n / sum(n) OVER (PARTITION BY kind, f) AS w FROM both_ways
 ), {", ".join(rounds)}
@@ -180,5 +173,5 @@ def oracle_sql() -> dict[str, str]:
     """The others hash, merge or train in ways that SQL has no functions for; tests hold them against plain Python and the tokenizers' libraries."""
     import corpus_pipeline
 
-    known = {"op1_chat_format": _OP1, "op4_url_filter": _op4(), "op4_url_filter_all_seeds": _op4(ALL_SEEDS), "op9_nearest": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op1_chat_format": _OP1, "op4_url_filter": _op4(), "op9_nearest": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,15 +28,18 @@ class Rule:
 
 @dataclass(frozen=True)
 class Spread:
-    """``seed_percent``: of a host's pages, the least share that rules allow (block) to make it a trusted (blocked) seed, its weight the number of
-    those pages.  ``damping`` and ``rounds`` of the propagation; it ends early once no score moves by over ``tolerance``.  A host is blocked if its distrust is
-    over ``factor`` times its trust."""
+    """``damping`` of the propagation, which goes on until at most a share of ``tolerance`` of the mass can still move.  A host is blocked if its distrust is
+    over ``factor`` times its trust.  ``unrolled``: rounds in one job."""
 
-    seed_percent: int = 90
     damping: float = 0.85
-    rounds: int = 12
-    tolerance: float = 1e-9
+    tolerance: float = 0.01
     factor: float = 1.0
+    unrolled: int = 5
+
+    @property
+    def rounds(self) -> int:
+        """After so many rounds ``damping ** rounds``, the mass that has not come to rest, is at most ``tolerance``."""
+        return math.ceil(math.log(self.tolerance) / math.log(self.damping))
 
 
 def host_of(url: Column) -> Column:
@@ -79,28 +83,34 @@ def propagate(links: DataFrame, seeds: DataFrame, spread: Spread, written: Writt
     both = written(both)
     out_sums = written(both.groupBy("kind", "from").agg(F.sum("n").alias("all")))
     edges = written(both.join(out_sums, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("w")))
-    scores = start.select("kind", "host", (F.col("share") * (1 - spread.damping)).alias("score"))
-    scores = written(scores)
+    base = start.select("kind", "host", (F.col("share") * (1 - spread.damping)).alias("score"))
+    scores = base
     if not edges.isEmpty():
-        for _ in range(spread.rounds):
-            came = edges.join(scores.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("w") * F.col("score") * spread.damping).alias("score"), F.lit(0.0).alias("old"))
-            base = start.select("kind", "host", (F.col("share") * (1 - spread.damping)).alias("score"), F.lit(0.0).alias("old"))
-            old = scores.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("old"))
-            new = written(came.union(base).union(old).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")))
-            written.drop(scores)
-            moved = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-            scores = written(new.select("kind", "host", "score"))
-            written.drop(new)
-            if moved <= spread.tolerance:
-                break
+        for i in range(1, spread.rounds + 1):
+            came = edges.join(scores.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("w") * F.col("score") * spread.damping).alias("score"))
+            scores = came.union(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            if i % spread.unrolled == 0 or i == spread.rounds:
+                scores = written(scores)
     return scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"))
 
 
+def domain_links(hosts: DataFrame) -> DataFrame:
+    """(source, target, n) between each host (columns host, n: its pages) and its parent domain, and so on up to the one of two labels; both ways."""
+    labels = F.split("host", r"\.")
+    name = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size(labels) - 2), lambda i: F.struct(name(i).alias("low"), name(i + 1).alias("high")))
+    up = hosts.where(F.size(labels) > 2).select(F.explode(steps).alias("s"), "n").groupBy("s").agg(F.sum("n").cast("double").alias("n"))
+    ways = F.array(F.struct(F.col("s.low").alias("source"), F.col("s.high").alias("target")), F.struct(F.col("s.high").alias("source"), F.col("s.low").alias("target")))
+    return up.select(F.explode(ways).alias("e"), "n").select("e.source", "e.target", "n")
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], spread: Spread = Spread(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, host, path, rule, verdict, by): one row per page; ``by``: rule or links.
 
     Pages that no rule fits get their host's verdict: block if the distrust that reached it is over ``spread.factor`` times its trust, else allow.  Seeds are
-    hosts nearly all of whose pages the rules decide one way; edges are the links of pages to other hosts, counted per pair of hosts before anything is joined.
+    hosts with pages that rules decide, with the numbers of those allowed and blocked; edges are the links of pages to other hosts, counted per pair of hosts before
+    anything is joined, and each host's with its parent domain (:func:`domain_links`), which counts as linked both ways, for pages link within their
+    host mostly.
 
     Null urls and urls without ``://`` have empty hosts, which take no part in the spread and are allowed; null html has no links.  Repeated rows
     count again as pages and stay, with equal results.  Other columns, whatever their names, are not looked at; an empty table gives no rows.
@@ -110,12 +120,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], spread: Spread = Spread(), i
     seen = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     seen = seen.withColumn("ruled", ruling(F.col("host"), F.col("path"), rules))
     hosts = seen.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled.verdict") == "allow").alias("allowed"), F.count_if(F.col("ruled.verdict") == "block").alias("blocked"))
-    percent = spread.seed_percent
-    seed = lambda c: F.when(100 * F.col(c) >= percent * F.col("n"), F.col(c)).otherwise(0).cast("double")
-    seeds = written(hosts.select("host", seed("allowed").alias("trust"), seed("blocked").alias("distrust")).where("trust > 0 or distrust > 0"))
+    hosts = written(hosts)
+    seeds = hosts.select("host", F.col("allowed").cast("double").alias("trust"), F.col("blocked").cast("double").alias("distrust")).where("trust > 0 or distrust > 0")
     linked = F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER))
     links = pages.select(host_of(url).alias("source"), F.explode(linked).alias("target")).where("source != '' and source != target")
-    links = written(links.groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    links = links.groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    links = written(links.union(domain_links(hosts)).groupBy("source", "target").agg(F.sum("n").alias("n")))
     scores = propagate(links, seeds, spread, written)
     bad = written(scores.where(F.col("distrust") > spread.factor * F.col("trust")).select("host", F.lit("block").alias("linked")))
     out = seen.join(bad, "host", "left")
