@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,29 +139,6 @@ def counts(lines: list[str], kinds: int = 128) -> np.ndarray:
     return out
 
 
-def walk(prints: np.ndarray, most: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
-    """The connected groups (of two and more) of rows of ``prints`` that differ in at most ``most`` bits and are ``linked(i, others)``; as positions.
-
-    A breadth-first walk: each position is compared with those that no group has yet.
-    """
-    left = np.arange(len(prints))
-    while len(left) > 1:
-        group, left = [left[:1]], left[1:]
-        queue = list(group[0])
-        while queue and len(left):
-            i = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[i]).sum(1, dtype=np.int64) <= most
-            if near.any():
-                at = np.flatnonzero(near)
-                near[at] = linked(i, left[at])
-                group.append(left[near])
-                queue.extend(left[near])
-                left = left[~near]
-        group = [x for x in group if len(x)]
-        if len(group) > 1:
-            yield np.concatenate(group)
-
-
 def alike(texts: list[str], prints: np.ndarray, near: Near) -> Iterator[np.ndarray]:
     """The connected groups (of two and more) of texts with near ``prints`` that are :func:`similar`, as lists of positions."""
     size = np.array([len(x) for x in texts])
@@ -180,7 +157,7 @@ def alike(texts: list[str], prints: np.ndarray, near: Near) -> Iterator[np.ndarr
             out[k] = at_most(a, b, own) <= own or (np.abs(kinds(int(others[k])) - kinds(i)).sum() <= 4 * own and within(a, b, own))
         return out
 
-    return walk(prints, near.most, linked)
+    return wide.walk(prints, near.most, linked)
 
 
 def occurrences_of(slim: DataFrame) -> DataFrame:

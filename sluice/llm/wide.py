@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,30 @@ def near_in_tile(key: np.ndarray, check: np.ndarray, most: int) -> np.ndarray:
     return hit
 
 
+def walk(prints: np.ndarray, most: int, linked: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[np.ndarray]:
+    """The connected groups (of two and more) of rows of ``prints`` that differ in at most ``most`` bits as positions; ``linked(i, others)`` may turn down links.
+
+    A breadth-first walk: each position is compared with those that no group has yet.
+    """
+    left = np.arange(len(prints))
+    while len(left) > 1:
+        group, left = [left[:1]], left[1:]
+        queue = list(group[0])
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]).sum(1, dtype=np.int64) <= most
+            if near.any():
+                if linked is not None:
+                    at = np.flatnonzero(near)
+                    near[at] = linked(i, left[at])
+                group.append(left[near])
+                queue.extend(left[near])
+                left = left[~near]
+        group = [x for x in group if len(x)]
+        if len(group) > 1:
+            yield np.concatenate(group)
+
+
 def groups(nodes: DataFrame, written: Written, width: int, tables: int, most: int) -> DataFrame:
     """A written table (key, node): under some block key, each node with another one that differs in at most ``most`` of 64 bits, the
     keys of the same such nodes made one.  A group holds two nodes at least and 2 * TILE at most, about.

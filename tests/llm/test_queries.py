@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import byte_bpe, chat, classifier, line_dedup, nearest, packing, quality_rules, registry, simhash, token_counts, url_filter, wide
-from sluice.llm.common import Written
+from sluice.llm.common import Written, hash_spans, mix, prefix_sums, span_hashes, word_spans
 from sluice.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -93,7 +93,33 @@ def test_simhash(spark):
     want = groups_of(links, prints)
     assert got == {i: (prints[i], want[i]) for i in prints}
     kept = {r.doc_id for r in simhash.keep_one(df, words=4).collect()}
-    assert kept == set(want.values())
+    assert kept == set(groups_of(document_links(dict(enumerate(rows, 10)), 4), prints).values())
+
+
+def document_links(texts, words=5, near=simhash.Near()):
+    """All links of documents by comparing every two, as the docstring of Near defines them."""
+    prints, hashes = {}, {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        k = min(words, len(w))
+        own = [" ".join(w[i : i + k]).encode() for i in range(len(w) - k + 1)] if w else []
+        for x in own:
+            if x not in hashes:
+                raw = np.frombuffer(x, np.uint8)
+                start, end, _ = word_spans(raw, np.array([0, len(raw)]))
+                hashes[x] = span_hashes(prefix_sums(hash_spans(raw, start, end)), np.array([0]), np.array([len(start)]))[0]
+        ones = np.zeros(256, int)
+        for x in own:
+            ones += np.unpackbits(mix(hashes[x] ^ wide.SEEDS).view(np.uint8), bitorder="little")
+        prints[d] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
+    keys = {d: wide.block_keys(p[None], near.width, near.tables)[0] for d, p in prints.items()}
+    word = wide.weights(near.width, near.tables)[1]
+
+    def linked(a, b):
+        differ = np.bitwise_count(prints[a] ^ prints[b])
+        return differ.sum() <= near.most and ((keys[a] == keys[b]) & (differ[word] <= near.most_64)).any()
+
+    return [(a, b) for a in prints for b in prints if a < b and linked(a, b)]
 
 
 def test_simhash_odd(spark, docs):
@@ -105,6 +131,9 @@ def test_simhash_odd(spark, docs):
     assert by[2] == by[3] == by[4] == {2} and by[7] == by[8] == {7} and by[None] == {None}
     kept = sorted((r.doc_id for r in simhash.keep_one(docs).collect()), key=str)
     assert kept == sorted([1, 2, 5, 6, None, 7], key=str)
+    rows = [(7, "a b c d e f"), (7, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (None, "a b c d e f"), (3, "g h i j k l")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(3, "g h i j k l"), (7, "a b c d e f"), (None, "m n o p q r")], key=str)
     assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
@@ -289,16 +318,22 @@ def test_mixed_hosts_are_seeds(spark, tmp_path):
     """Of a host without links, whose pages the rules decide both ways, the pages without a rule follow the larger share."""
     rows = [(i, f"http://a.com{path}", None) for i, path in enumerate(["/en/1", "/en/2", "/en/3", "/x"])] + [(9, "http://b.net/de/1", None), (10, "http://b.net/x", None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.page_id: (r.verdict, r["by"]) for r in registry.queries()["op4_url_filter_all_seeds"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: (r.verdict, r["by"]) for r in registry.queries()["op4_url_filter"](spark, str(tmp_path)).collect()}
     assert got[3] == ("block", "links") and got[10] == ("allow", "links")
 
 
+def test_pages_have_host_edges(spark):
+    """On the table given, scores of hosts decide pages without a rule both ways."""
+    got = [r.verdict for r in registry.queries()["op4_url_filter"](spark, SF).collect() if r["by"] == "links"]
+    assert {"allow", "block"} == set(got)
+
+
 def test_propagation(spark):
     """Against plain personalised PageRank."""
     rng = random.Random(5)
     hosts = [f"h{i}" for i in range(12)]
     links = {(a, b): float(rng.randint(1, 4)) for a in hosts for b in hosts if a != b and rng.random() < 0.2}
-    s = url_filter.Spread(rounds=8, tolerance=0)
+    s = url_filter.Spread(tolerance=0.3)
     seeds = {"h0": (3.0, 0.0), "h1": (1.0, 2.0)}
     want = {}
     for kind in (0, 1):
@@ -458,9 +493,7 @@ def test_pipeline(spark, texts):
                     want[d] = left
             assert kept == want
         elif n == 10:
-            prints = {d: simhash.fingerprint(t.encode(), 5) for d, t in rows.items()}
-            links = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4]
-            assert kept.keys() == set(groups_of(links, prints).values())
+            assert kept.keys() == set(groups_of(document_links(rows), rows).values())
         else:
             assert all(rows[d] == t for d, t in kept.items())
         docs, rows = out, kept
