@@ -86,21 +86,21 @@ def replay_from(spark, sf_dir):
     return src.replay_from(events(spark, sf_dir, "event_id", "ts"), F.expr(f"timestamp_ntz'{SPLIT_TS}'"))
 
 
-@query("SELECT word, count(*) * 3 AS n FROM (SELECT unnest(string_split('this is a good start bingo bingo', ' ')) AS word) GROUP BY word")
+@query("SELECT word, count(*) * 3 AS n FROM (SELECT unnest(string_split('rivers run past mills and past barns', ' ')) AS word) GROUP BY word")
 def sentence_source(spark, sf_dir):
-    return agg.word_count(src.sentence_words(spark, "this is a good start bingo bingo", rounds=3))
+    return agg.word_count(src.sentence_words(spark, "rivers run past mills and past barns", rounds=3))
 
 
-@query("SELECT 1000::BIGINT AS n, 100::BIGINT AS size, true AS digits")
+@query("SELECT count(*) AS n, 100 * count(*) AS chars, true AS digits FROM nation")
 def load_generator(spark, sf_dir):
-    made = src.digit_strings(spark, 1000)
-    return made.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("value")).cast("long").alias("size"), F.bool_and(F.col("value").rlike("^[0-8]+$")).alias("digits"))
+    made = src.digit_strings(spark, table(spark, sf_dir, "nation").count())
+    return made.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"), F.bool_and(F.col("value").rlike("^[0-8]+$")).alias("digits"))
 
 
-@query("SELECT 'Sink_0' AS sink, 'Source_0|Node_0' AS path")
+@query("SELECT 'end' AS sink, 'start|middle' AS path")
 def demo_dag(spark, sf_dir):
-    first = tr.append_name(src.vector_source(spark, "Source_0", 5), "list", "Node_0")
-    return src.capture_first(first, "Sink_0").select("sink", F.concat_ws("|", "list").alias("path"))
+    first = tr.append_name(src.vector_source(spark, "start", 5), "list", "middle")
+    return src.capture_first(first, "end").select("sink", F.concat_ws("|", "list").alias("path"))
 
 
 # --- per-record transforms -------------------------------------------------------------
@@ -164,10 +164,10 @@ def drop_partition(spark, sf_dir):
     return tr.drop_unrouted(events(spark, sf_dir, "event_id", "user_id").withColumn("p", F.col("user_id") % 7 - 1), F.col("p")).drop("user_id")
 
 
-@query("SELECT p_partkey, p_brand || '|Node_1|Node_2' AS path FROM part")
+@query("SELECT p_partkey, p_brand || '|second|third' AS path FROM part")
 def append_vector(spark, sf_dir):
     rows = table(spark, sf_dir, "part", "p_partkey", "p_brand").withColumn("list", F.array("p_brand"))
-    return tr.append_name(tr.append_name(rows, "list", "Node_1"), "list", "Node_2").select("p_partkey", F.concat_ws("|", "list").alias("path"))
+    return tr.append_name(tr.append_name(rows, "list", "second"), "list", "third").select("p_partkey", F.concat_ws("|", "list").alias("path"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
@@ -468,9 +468,16 @@ def processor_aggregate_meter(spark, sf_dir):
     return metrics.processor_meters(points(spark, sf_dir), 3_600_000)
 
 
-@query(_SLOT.format(f='sum(cents) / count(*) AS mean', k="histogram"))
+@query(_SLOT.format(f=", ".join(f"sum(cents + {i}) / count(*) AS {x}" for i, x in enumerate(("mean", "stddev", "median", "p95", "p99", "p999"))), k="histogram"))
 def processor_aggregate_histogram(spark, sf_dir):
-    return metrics.processor_histograms(points(spark, sf_dir), 3_600_000, ("mean",))
+    rows = points(spark, sf_dir)
+    fields = ("stddev", "median", "p95", "p99", "p999")
+    return metrics.processor_histograms(rows.withColumns({x: F.col("mean") + i for i, x in enumerate(fields, 1)}), 3_600_000)
+
+
+@query(f"SELECT name, event_id FROM {_POINTS} WHERE time_ms >= {SPLIT_MS} - 24 * 3600000 AND time_ms < {SPLIT_MS}")
+def metrics_in_range(spark, sf_dir):
+    return metrics.in_range(points(spark, sf_dir), SPLIT_MS, (3_600_000, 24)).select("name", "event_id")
 
 
 _LATEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY time_ms DESC, event_id DESC) AS r FROM {_POINTS}) WHERE r = 1)"
@@ -556,10 +563,13 @@ def _rank_sql() -> str:
 
 @query(_rank_sql())
 def pagerank(spark, sf_dir):
-    one_way = _links(spark, sf_dir).distinct()
-    both = one_way.union(one_way.select("dst", "src"))
+    """Six rounds, which is as far as the SQL goes; names are numbers on the way, which are cheaper to shuffle."""
+    number = lambda c: (F.substring(c, 2, 20).cast("long") * 2 + (F.substring(c, 1, 1) == "s").cast("long")).alias(c)
+    one_way = _links(spark, sf_dir).select(number("src"), number("dst")).distinct()
+    both = gr.cut(one_way.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*"))
     ranks = gr.pagerank(both.select(F.col("src").alias("id")).distinct(), both, RANK_ROUNDS, 0)
-    return ranks.select("id", F.round("weight", 6).alias("weight"))
+    name = F.concat(F.when(F.col("id") % 2 == 0, "p").otherwise("s"), (F.col("id") / 2).cast("long").cast("string"))
+    return ranks.select(name.alias("id"), F.round("weight", 6).alias("weight"))
 
 
 # --- plans and streams -----------------------------------------------------------------
@@ -585,24 +595,35 @@ def json_flow(spark, sf_dir):
     return from_json(json.dumps(plan), registry).evaluate(spark)["count"]
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """All of the events through a stream that ends, and its result as a table in the shared folder or a local one."""
-    import tempfile
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, or in a local one where the master is local."""
     import uuid
 
-    from sluice.streaming import submit
+    return f"{gr.shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-stream-")
-    place = f"{base}/sluice-{name}-{uuid.uuid4().hex}"
-    schema = events(spark, sf_dir).schema
-    stream = src.read_unbounded(spark, sf_dir, schema, pathGlobFilter="events.parquet")
+
+def _run(stream: DataFrame, place: str, mode: str, fail_at: int | None = None) -> str:
+    """The stream until it has seen all that is there, each micro-batch a folder of its own in place/out; how it ended.  With ``fail_at`` that micro-batch
+    fails after it is written."""
+    import uuid
+
+    from sluice.streaming import submit
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        if number == fail_at:
+            raise RuntimeError("failed on purpose")
+
+    writer = src.foreach_batch(stream, keep, f"{place}/checkpoint").outputMode(mode)
+    return submit(f"stream_{uuid.uuid4().hex}", writer).wait()
 
-    writer = src.foreach_batch(build(stream), keep, f"{place}/checkpoint").outputMode(mode)
-    if (status := submit(f"{name}_{uuid.uuid4().hex}", writer)).wait() != "succeeded":
-        raise RuntimeError(status.info()["error"])
+
+def _stream(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """All of the events through a stream that ends, and its result as a table."""
+    place = _place(spark, name)
+    stream = src.read_unbounded(spark, sf_dir, events(spark, sf_dir).schema, pathGlobFilter="events.parquet")
+    if (status := _run(build(stream), place, mode)) != "succeeded":
+        raise RuntimeError(status)
     return spark.read.parquet(f"{place}/out")
 
 
@@ -630,6 +651,43 @@ def stateful_count(spark, sf_dir):
     return out.groupBy("event_type").agg(F.max_by("total", "batch").alias("total"))
 
 
+_LATE = f"event_id % 50 = 0 AND ts < TIMESTAMP '{SPLIT_TS}'"
+
+
+@query(f"""WITH seen AS (SELECT * FROM events WHERE NOT ({_LATE})), w AS (SELECT event_type, {HOUR} AS window_start, count(*) AS n FROM seen GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM seen)""")
+def late_rows(spark, sf_dir):
+    """Hourly counts of a stream that starts again after each of three parts: a window is out once, when the watermark has passed its end, and rows that
+    come after that (the last part) count nowhere."""
+    place = _place(spark, "late")
+    rows = events(spark, sf_dir, "event_id", "ts", "event_type")
+    late, early = F.expr(_LATE.replace("TIMESTAMP", "timestamp_ntz")), F.expr(f"ts < timestamp_ntz'{SPLIT_TS}'")
+    for i, part_of in enumerate((early & ~late, ~early, late)):
+        rows.where(part_of).write.parquet(f"{place}/in/part={i}")
+        stream = src.read_unbounded(spark, f"{place}/in/part=*", rows.schema, ts_col="ts")
+        counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        if (status := _run(counts.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n"), place, "append")) != "succeeded":
+            raise RuntimeError(status)
+    return spark.read.parquet(f"{place}/out").drop("batch")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def restart_exactly_once(spark, sf_dir):
+    """Rows of a stream whose second micro-batch fails after it was written, and which is started again from its checkpoint: each counts once."""
+    place = _place(spark, "restart")
+    rows = events(spark, sf_dir, "event_id", "ts", "event_type")
+    early = F.expr(f"ts < timestamp_ntz'{SPLIT_TS}'")
+    ends = []
+    for i, (part_of, fail_at) in enumerate(((early, None), (~early, 1), (None, None))):
+        if part_of is not None:
+            rows.where(part_of).write.parquet(f"{place}/in/part={i}")
+        stream = src.read_unbounded(spark, f"{place}/in/part=*", rows.schema)
+        ends.append(_run(stream.select("event_id", "event_type"), place, "append", fail_at))
+    if ends != ["succeeded", "failed", "succeeded"]:
+        raise RuntimeError(str(ends))
+    return spark.read.parquet(f"{place}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a local one only where none is set and the master is local."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if found := context.getConf().get("spark.checkpoint.dir"):
+        return found.rstrip("/")
+    if known.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
-    return df.checkpoint()
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once in the shared checkpoint folder and read back: cuts lineage, and is computed once where ``checkpoint()`` would be twice."""
+    path = f"{shared_dir(df.sparkSession)}/sluice-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -56,10 +70,10 @@ def levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """
     ends = edges.select("src", "dst").distinct()
     nodes = ends.select(F.col("src").alias("id")).union(ends.select(F.col("dst").alias("id"))).distinct()
-    front = _cut(nodes.join(ends.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
+    front = cut(nodes.join(ends.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
     out = front.withColumn("level", F.lit(0))
     for level in range(1, rounds + 1):
-        front = _cut(ends.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct())
+        front = cut(ends.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct())
         if front.isEmpty():
             return out.groupBy("id").agg(F.max("level").alias("level"))
         out = out.union(front.withColumn("level", F.lit(level)))
@@ -70,24 +84,25 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 100, delta: fl
     """(id, weight): undamped PageRank from weights of 1.
 
     Each round a vertex passes its weight on in equal shares; one without successors passes it to all vertices. Ends once no weight moves by over
-    ``delta``, or after ``rounds``. One join and one aggregate, combined before its shuffle, a round; lineage is cut
-    every few rounds. Without edges at all weights stay as they are spread.
+    ``delta``, or after ``rounds``. One join and one aggregate, combined before its shuffle, a round; lineage is cut each round if a figure of it is needed
+    (the largest move, the weight of vertices without successors, both in one job), else every few. Without edges at all weights stay as they are spread.
     """
+    edges = cut(edges.select("src", "dst"))
     out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    shares = _cut(edges.select("src", "dst").join(out_degree, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")))
-    ranks = _cut(vertices.select("id").join(out_degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0).alias("weight"), F.col("out").isNull().alias("dangling")))
-    n = ranks.count()
+    shares = cut(edges.join(out_degree, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")))
+    ranks = cut(vertices.select("id").join(out_degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0).alias("weight"), F.col("out").isNull().alias("dangling")))
+    n, loose = ranks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("dangling"), F.col("weight")))).first()
+    watched = delta > 0 or loose is not None
     for i in range(rounds):
-        loose = ranks.where("dangling").agg(F.sum("weight")).first()[0] or 0.0
         sent = shares.join(ranks.select(F.col("id").alias("src"), "weight"), "src").select(F.col("dst").alias("id"), (F.col("share") * F.col("weight")).alias("got"), F.lit(0.0).alias("was"), F.lit(False).alias("own"), F.lit(False).alias("dangling"))
-        own = ranks.select("id", F.lit(loose / n).alias("got"), F.col("weight").alias("was"), F.lit(True).alias("own"), "dangling")
-        new = sent.union(own).groupBy("id").agg(F.sum("got").alias("weight"), F.sum("was").alias("was"), F.max("own").alias("own"), F.max("dangling").alias("dangling")).where("own")
-        if delta > 0 or (i + 1) % cut_every == 0:
-            new = _cut(new)
-        still = delta > 0 and (new.agg(F.max(F.abs(F.col("weight") - F.col("was")))).first()[0] or 0.0) <= delta
-        ranks = new.select("id", "weight", "dangling")
-        if still:
-            break
+        own = ranks.select("id", F.lit((loose or 0.0) / (n or 1)).alias("got"), F.col("weight").alias("was"), F.lit(True).alias("own"), "dangling")
+        ranks = sent.union(own).groupBy("id").agg(F.sum("got").alias("weight"), F.sum("was").alias("was"), F.max("own").alias("own"), F.max("dangling").alias("dangling")).where("own")
+        if watched or (i + 1) % cut_every == 0:
+            ranks = cut(ranks)
+        if watched:
+            moved, loose = ranks.agg(F.max(F.abs(F.col("weight") - F.col("was"))), F.sum(F.when(F.col("dangling"), F.col("weight")))).first()
+            if delta > 0 and (moved or 0.0) <= delta:
+                break
     return ranks.select("id", "weight")
 
 

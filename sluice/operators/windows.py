@@ -28,7 +28,7 @@ class Strategy:
         if self.gap:
             raise NotImplementedError("merging windows (sessions) are not supported by a grouping")
         if (self.trigger, self.lateness_ms, self.accumulation, self.closing, self.on_time) != ("default", 0, "discarding", "fire_if_nonempty", "fire_always"):
-            raise NotImplementedError("only default trigger/pane semantics are supported")
+            raise NotImplementedError("a grouping fires once, at the end of a window; other triggers and panes are not built")
 
 
 def assign(df: DataFrame, strategy: Strategy, ts_col: str = "ts") -> DataFrame:
