@@ -13,6 +13,8 @@ from sluice.llm.common import Written, small_batches, spark_schema
 
 #: Vectors of a candidate block and of a query block, about; and queries whose products are held at once.
 CANDIDATES, QUERIES, ROWS = 8192, 1024, 64
+#: Components whose products of codes are added up exactly in float32: 127 * 127 * EXACT is below 2**24.
+EXACT = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -30,33 +32,51 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as float32, in which their products are exact), each row's step, and the sum of its codes' sizes."""
+    """int8 codes (held as float32), each row's step, and the sum of its codes' sizes; a step too small for a number is NaN, and with it all bounds."""
     step = np.abs(x).max(1) / 127.0
-    code = np.rint(x / step[:, None])
+    step[step == 0] = np.nan
+    code = np.nan_to_num(np.rint(x / step[:, None]))
     return code.astype(np.float32), step, np.abs(code).sum(1)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of codes, exact: of EXACT components at once in float32, whose sums stay below 2**24, and these added up in double precision."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT] @ b[:, at : at + EXACT].T
+    return out
+
+
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, list[int], list[float]]]:
     """(query, ids, scores): the k best of one block of candidates for each query of one block, best first.
 
     A product of codes is off by at most half a step times the other side's sizes, both ways, and a quarter of a step squared per component.
-    Candidates whose upper bound reaches the k-th best lower bound are recomputed from the vectors.
+    Candidates whose upper bound reaches the k-th best lower bound are recomputed from the vectors, and so are those whose bounds aren't finite, as
+    with components near the ends of what a number can hold.
     """
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile(query_ids, queries, ids, vectors, k)
+
+
+def _tile(query_ids, queries, ids, vectors, k):
     qc, qs, qn = quantised(queries)
     cc, cs, cn = quantised(vectors)
     out = []
     for low in range(0, len(queries), ROWS):
         part = slice(low, low + ROWS)
         scale = qs[part, None] * cs[None, :]
-        product = (qc[part] @ cc.T).astype(np.float64) * scale
+        product = products(qc[part], cc) * scale
         off = (0.5 * (qn[part, None] + cn[None, :]) + 0.25 * queries.shape[1]) * scale * (1 + 1e-9)
         own = query_ids[part, None] == ids[None, :]
-        least = np.where(own, -np.inf, product - off)
+        least, most = product - off, product + off
+        unknown = ~(np.isfinite(least) & np.isfinite(most))
+        least[own | unknown] = -np.inf
+        most[unknown] = np.inf
         if len(ids) > k:
             bound = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k]
         else:
             bound = np.full(len(least), -np.inf)
-        row, column = np.nonzero(~own & (product + off >= bound[:, None]))
+        row, column = np.nonzero(~own & (most >= bound[:, None]))
         score = dot(queries[part][row], vectors[column])
         order = np.lexsort((ids[column], -score, row))
         row, column, score = row[order], column[order], score[order]
@@ -75,7 +95,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     Rows with a null id, and null, empty, zero or non-finite vectors (or with such components) take no part.  Vectors of different lengths aren't
     comparable: the search is within each length.  Rows with one id are one another's own, so never each other's neighbours; if such an
-    id is a query, the answers are those of one such row with the smallest components.  Fewer candidates than k: all.  None: no rows.  Ties go to the smaller id.  An
+    id is a query, the answers are those of one such row with the smallest components.  Fewer candidates than k: all.  None: no rows.  Ties go to the smaller id; products that overflow are
+    infinite, and those that are no number come last.  An
     empty table gives no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -100,6 +121,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         ids = table["id"].to_numpy()
         flat = table["v"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
         order = np.lexsort((*flat.T[::-1], ids))
+        # rows with one id and one vector count once
+        same = (ids[order][1:] == ids[order][:-1]) & (flat[order][1:] == flat[order][:-1]).all(1)
+        order = order[np.concatenate(([True], ~same))]
         return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int32()), "others": pa.array([table["others"][0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([flat[order].tobytes()], pa.binary())})
 
     def blocks(df: DataFrame, mine: str, others: str) -> DataFrame:
@@ -129,7 +153,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     final = {"query_id": pa.int64(), "rank": pa.int32(), "vec_id": pa.int64(), "score": pa.float64()}
 
     def merge(table: pa.Table) -> pa.Table:
-        runs = ([(-s, i) for i, s in zip(a, b, strict=True)] for a, b in zip(table["ids"].to_pylist(), table["scores"].to_pylist(), strict=True))
+        runs = ([(s != s, -s if s == s else 0.0, i) for i, s in zip(a, b, strict=True)] for a, b in zip(table["ids"].to_pylist(), table["scores"].to_pylist(), strict=True))
         best = []
         for pair in heapq.merge(*runs):
             if not best or best[-1] != pair:  # rows with one id and one vector count once
@@ -137,6 +161,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             if len(best) == k:
                 break
         n = len(best)
-        return pa.table({"query_id": pa.array([table["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([i for _, i in best], pa.int64()), "score": pa.array([-s + 0.0 for s, _ in best], pa.float64())})
+        return pa.table({"query_id": pa.array([table["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([i for *_, i in best], pa.int64()), "score": pa.array([np.nan if bad else -s + 0.0 for bad, s, _ in best], pa.float64())})
 
     return met.groupBy("query_id").applyInArrow(merge, spark_schema(final))
