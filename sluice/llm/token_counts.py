@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import heapq
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,10 @@ from sluice.llm.common import annotate, slices, text_bytes
 
 #: Pre-tokens whose counts a worker remembers; the characters of the longest it does; and the symbols merged at once.
 REMEMBERED, LONGEST, AT_ONCE = 500_000, 64, 1 << 19
+#: Longer pre-tokens, in characters, are merged each by itself.
+LONG = 2048
+#: Pairs of one rank that are merged at once in a long pre-token.
+CHUNK = 4096
 #: How a piece file writes the space.
 SPACE_MARK = "▁"
 
@@ -79,6 +85,11 @@ class PieceCounter:
         whole = np.concatenate(([0], np.cumsum(extra)))
         out = n + whole[bounds[1:]] - whole[bounds[:-1]]
         seq = np.repeat(np.arange(len(n)), n)
+        if (n > LONG).any():
+            for i in np.flatnonzero(n > LONG):
+                out[i] -= self._merges(symbols[bounds[i] : bounds[i + 1]])
+            short = (n <= LONG)[seq]
+            symbols, seq = symbols[short], seq[short]
         made = np.full(len(symbols), -1, np.int64)
         if len(symbols) > 1:
             made[:-1] = np.where(seq[:-1] == seq[1:], self.merged(symbols[:-1], symbols[1:]), -1)
@@ -104,6 +115,80 @@ class PieceCounter:
                 chosen &= leftmost | ~unsafe[seq]
                 symbols, seq, made, _ = self._apply(symbols, seq, made, chosen, lowest, out, True)
 
+    def _merges(self, symbols: np.ndarray) -> int:
+        """The number of merges in one long sequence: rank by rank as the others, but positions wait in a list for each rank, and only pairs next to a merge
+        are made anew.  CHUNK positions of a rank are merged at once, from the left, and only up to one whose new pair would come before the next."""
+        n = len(symbols)
+        symbols = symbols.copy()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, self.never)
+        made = np.full(n, -1)
+        fresh: dict[int, list[np.ndarray]] = {}
+        sorted_: dict[int, deque[np.ndarray]] = {}
+        ranks: list[int] = []
+        count = 0
+
+        def pair_of(first: np.ndarray, second: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            pair = np.where(there, self.merged(first, second), -1)
+            return pair, np.where(pair >= 0, self.rank[pair], self.never)
+
+        def wait(at: np.ndarray) -> None:
+            """Makes the pairs that start at ``at`` anew."""
+            second = after[at]
+            pair, own = pair_of(symbols[at], symbols[np.minimum(second, n - 1)], second < n)
+            made[at], rank[at] = pair, own
+            at, own = at[pair >= 0], own[pair >= 0]
+            if not len(at):
+                return
+            order = np.argsort(own, kind="stable")
+            at, own = at[order], own[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+                r = int(own[a])
+                if r not in fresh and r not in sorted_:
+                    heapq.heappush(ranks, r)
+                fresh.setdefault(r, []).append(at[a:b])
+
+        wait(np.arange(n))
+        while ranks:
+            r = ranks[0]
+            if r in fresh:
+                every = np.unique(np.concatenate([*fresh.pop(r), *sorted_.pop(r, ())]))
+                sorted_[r] = deque(every[i : i + CHUNK] for i in range(0, len(every), CHUNK))
+            if not sorted_[r]:
+                del sorted_[r]
+                heapq.heappop(ranks)
+                continue
+            every = sorted_[r].popleft()
+            every = every[rank[every] == r]
+            if not len(every):
+                continue
+            # of pairs that overlap, every other one, from the first
+            start = np.concatenate(([True], after[every[:-1]] != every[1:]))
+            place = np.arange(len(every))
+            at = every[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0]
+            # the pairs that each merge makes, once those on its left are made
+            right, left, new = after[at], before[at], made[at]
+            far = after[right]
+            beside = symbols[np.maximum(left, 0)]
+            beside[1:] = np.where(far[:-1] == at[1:], new[:-1], beside[1:])
+            _, low = pair_of(beside, new, left >= 0)
+            _, high = pair_of(new, symbols[np.minimum(far, n - 1)], far < n)
+            early = np.flatnonzero(np.minimum(low, high) <= r)
+            if len(early) or every[-1] > at[-1]:
+                last = int(early[0]) if len(early) else len(at) - 1
+                sorted_[r].appendleft(every[every > at[last]])
+                at, right, far, new = at[: last + 1], right[: last + 1], far[: last + 1], new[: last + 1]
+            symbols[at] = new
+            rank[right] = self.never
+            after[at] = far
+            inner = far < n
+            before[far[inner]] = at[inner]
+            count += len(at)
+            left = before[at]
+            wait(np.unique(np.concatenate((at, left[left >= 0]))))
+        return count
+
     def _apply(self, symbols, seq, made, chosen, lowest, out, final):
         """Merges at ``chosen``.  Unless ``final``, nothing is done if any new pair has the rank at hand or a lower one; then the last value
         flags those sequences."""

@@ -275,3 +275,65 @@ def test_features_and_training():
     raw, bounds = common.text_bytes(pa.array(["a b", "", None, "a b", "x"]))
     places, at = classifier.features(raw, bounds, s.bits)
     assert np.diff(at).tolist() == [3, 0, 0, 3, 1] and places[:3].tolist() == places[3:6].tolist()
+
+
+def test_word_ids_of_all_characters():
+    """Every character below U+3000 between letters, marks and numbers; every pair below U+0180; and odd mixtures: ids as the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, library = packing.Ids(path), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    pool = "aAbE éÉßİıſKÅΣσςǅŉ'’.,!?\n\t\xa0 ́̇ﬁ12²½٣你"
+    texts = [f"a{chr(c)}b {chr(c)}. {chr(c)}{chr(c)}'S x{chr(c)}'ll 1{chr(c)}2 !{chr(c)}?" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts += [f"{chr(a)}{chr(b)}n " for a in range(0x180) for b in range(0, 0x180, 5)]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a<|endoftext|>b <|x|> <|startoftext|>.", "İ!", "don't WE'LL '’s", "''s '''t"]
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, np.uint16).tolist() for x in own(texts, 2)] == [[*x.ids, 2] for x in want]
+
+
+def test_long_pretokens(monkeypatch):
+    """Counts of long pre-tokens as the library's, in time that grows with their length; short ones by the same way too."""
+    import time
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PieceCounter(path)
+    rng = random.Random(3)
+    count = lambda t: int(sum(pieces.counts([token_counts.SPACE_MARK + x.replace(" ", token_counts.SPACE_MARK) for x in token_counts.parts_of(t)])))
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20000), ("ab", 5000), ("a", 9001), ("theinrgé ", 6000), ("a中\U0001f600", 3000)):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert count(text) == len(library.encode(text))
+    began = time.perf_counter()
+    count("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)))
+    assert time.perf_counter() - began < 20
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    monkeypatch.setattr(token_counts, "CHUNK", 5)
+    for _ in range(200):
+        text = "".join(rng.choice(rng.choice(["abc", "the ing", "a", "éaß中=-- "])) for _ in range(rng.randint(1, 60)))
+        assert count(text) == len(library.encode(text))
+
+
+def test_products_at_the_ends_of_numbers():
+    """Vectors of any size and many components, and repeated ones: the nearest as by brute force."""
+    rng = np.random.default_rng(1)
+    for v in (rng.normal(size=(300, 8)) * 1e160, rng.normal(size=(200, 3000)), rng.normal(size=(300, 4)) * 10.0 ** rng.integers(-320, 300, (300, 1)), np.repeat(rng.normal(size=(100, 1500)), 2, 0)):
+        v = v[(v != 0).any(1)]
+        ids = np.arange(len(v))
+        for q, best, scores in nearest.tile(ids[::20], v[::20], ids, v, 20):
+            with np.errstate(all="ignore"):
+                s = nearest.dot(np.repeat(v[q : q + 1], len(v), 0), v)
+            want = [i for i in np.lexsort((ids, -s)) if i != q][:20]
+            assert best == want and np.array_equal(scores, s[want], equal_nan=True)
+
+
+def test_repeats_by_words_alone():
+    """Windows and lines that polynomial hashes don't tell apart, or that only look alike, aren't repeats."""
+    a = "ab"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    raw = f"{a}\n{b}\n{a}".encode()
+    got = quality_rules.measure(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), quality_rules.Limits())
+    assert got["n_dup_lines"].tolist() == [1]
