@@ -19,7 +19,7 @@ from sluice.llm.common import Written, annotate, map_batches, mix, slices, small
 #: Places of the hashed vectors, the dimensions they are projected to, and the bits of each in a curve key.
 PLACES, DIMENSIONS, BITS = 1024, 4, 12
 #: Pre-tokens whose ids a worker remembers, and the characters of the longest it does; pre-tokens that are encoded as one text.
-REMEMBERED, LONGEST, JOINED = 400_000, 48, 128
+REMEMBERED, LONGEST, JOINED = 600_000, 48, 128
 #: Documents whose vectors are held at once.
 VECTORS = 512
 #: Code points below this are told apart by tables here; parts of texts with others, or whose lower case is such, go to the tokenizer as they stand.
@@ -97,8 +97,8 @@ def spans(chars: list[str]) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Of lower-case text: its pre-tokens, the same for ASCII alone; and what texts hold that these two don't know."""
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """Of lower-case text: its pre-tokens, the same for Latin-1 and for ASCII alone; and what texts hold that these don't know."""
     plain = [c for c in map(chr, range(PLAIN)) if len(c.lower()) == 1 and ord(c.lower()) < PLAIN]
     kind = {c: unicodedata.category(c)[0] for c in plain}
     space = {*map(chr, range(0x09, 0x0E)), " ", "\x85", "\xa0"}
@@ -109,7 +109,7 @@ def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
         letters, numbers, rest = ([c for c in own if (kind[c] if kind[c] in "LN" else "") == k] for k in ("L", "N", ""))
         return re.compile(f"[{spans(letters)}]+|{ends}|[{spans(numbers)}]|[{spans(rest)}]+")
 
-    return pattern(PLAIN), pattern(0x80), re.compile(f"[^{spans(plain)}]|{re.escape(SPECIAL)}")
+    return pattern(PLAIN), pattern(0x100), pattern(0x80), re.compile(f"[^{spans(plain)}]|{re.escape(SPECIAL)}")
 
 
 class Memo(dict):
@@ -147,11 +147,16 @@ class Ids:
 
     def pretokens(self, text: str) -> list[str]:
         """The pre-tokens of a text; for parts that aren't plain a space and the part."""
-        every, ascii_, odd = patterns()
-        if text.isascii() and SPECIAL not in text:
-            return ascii_.findall(text.lower())
-        if not odd.search(text):
-            return every.findall(text.lower())
+        every, latin, ascii_, odd = patterns()
+        if SPECIAL not in text:
+            if text.isascii():
+                return ascii_.findall(text.lower())
+            try:
+                text.encode("latin-1")
+                return latin.findall(text.lower())
+            except UnicodeEncodeError:
+                if not odd.search(text):
+                    return every.findall(text.lower())
         out: list[str] = []
         for part in text.replace("\n", " ").split(" "):
             if odd.search(part):
