@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACE, annotate, crc32_of, free_name, group_sums, hash_spans, mix, slices, text_bytes
+from sluice.llm.common import SPACE, annotate, crc32_of, free_name, hash_spans, mix, slices, text_bytes
 
 FIELDS = {"score": pa.float64()}
 
