@@ -17,7 +17,8 @@ from sluice.operators import graph as gr
 from sluice.operators import partition as part
 from sluice.operators import transforms as tr
 from sluice.operators import windows as win
-from sluice.plans import from_json, replace_processor
+from sluice.plans import Flow, Graph, Processor, diff, from_json, replace_processor, sink
+from sluice.plans.graph import Path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -91,6 +92,11 @@ def sentence_source(spark, sf_dir):
     return agg.word_count(src.sentence_words(spark, "rivers run past mills and past barns", rounds=3))
 
 
+@query("SELECT word, count(*) * 2 AS n FROM (SELECT unnest(string_split('a  b c  ', ' ')) AS word) GROUP BY word")
+def sentence_single_spaces(spark, sf_dir):
+    return agg.word_count(src.sentence_words(spark, "a  b c  ", rounds=2, single_spaces=True))
+
+
 @query("SELECT count(*) AS n, 100 * count(*) AS chars, true AS digits FROM nation")
 def load_generator(spark, sf_dir):
     made = src.digit_strings(spark, table(spark, sf_dir, "nation").count())
@@ -181,6 +187,11 @@ def output_to_one(spark, sf_dir):
     return routed[1].agg(F.lit(1).alias("route"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{SPLIT_TS}'")
+def time_filter(spark, sf_dir):
+    return tr.time_filter(events(spark, sf_dir, "event_id", "ts"), F.expr(f"timestamp_ntz'{SPLIT_TS}'"))
+
+
 @query("SELECT event_id, coalesce(CASE WHEN user_id % 2 = 0 THEN ts END, TIMESTAMP '1970-01-01') AS at FROM events")
 def default_timestamp(spark, sf_dir):
     rows = events(spark, sf_dir, "event_id", "user_id", "ts")
@@ -196,6 +207,11 @@ def flatten(spark, sf_dir):
     return tr.flatten(parts)
 
 
+@query("SELECT s_name AS name FROM supplier")
+def flatten_one(spark, sf_dir):
+    return tr.flatten([table(spark, sf_dir, "supplier", "s_name").withColumnRenamed("s_name", "name")])
+
+
 @query("SELECT NULL::VARCHAR AS name WHERE false")
 def flatten_none(spark, sf_dir):
     return tr.flatten([], "name string", spark)
@@ -499,6 +515,19 @@ def counter_sampling(spark, sf_dir):
     return metrics.sampled_counter(money(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("cents"), 7)
 
 
+_UPDATES = f"(SELECT event_type, {CENTS} AS cents, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
+
+
+@query(f"SELECT event_type, (r - 1) // 7 AS mark, sum(cents)::BIGINT AS amount FROM {_UPDATES} WHERE r <= n - n % 7 GROUP BY 1, 2")
+def meter_sampling(spark, sf_dir):
+    return metrics.sampled_meter(money(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("cents"), 7)
+
+
+@query(f"SELECT event_type, count(*) AS n, min(cents) AS low, max(cents) AS high, sum(cents) / count(*) AS mean FROM {_UPDATES} WHERE r % 7 = 0 GROUP BY 1")
+def histogram_sampling(spark, sf_dir):
+    return metrics.sampled_histogram(money(spark, sf_dir), ["event_type"], ["ts", "event_id"], F.col("cents"), 7)
+
+
 @query(f"SELECT time_ms // 3600000 * 3600000 AS bucket_ms, sum(cents)::BIGINT AS sum_m1, sum(cents) / count(*) AS mean_mean FROM {_POINTS} GROUP BY 1")
 def dashboard_series(spark, sf_dir):
     return metrics.series(points(spark, sf_dir), 3_600_000, ("m1",), ("mean",))
@@ -595,6 +624,49 @@ def json_flow(spark, sf_dir):
     return from_json(json.dumps(plan), registry).evaluate(spark)["count"]
 
 
+@query("SELECT upper(n_name) AS line, count(*) AS n FROM nation GROUP BY 1")
+def sink_processor(spark, sf_dir):
+    """A flow that ends in a sink of text lines; what the sink wrote, and that as many rows went on."""
+    place = _place(spark, "lines")
+    names = Processor("names", lambda session: table(session, sf_dir, "nation", "n_name").select(F.upper("n_name").alias("value")))
+    lines = sink("lines", lambda df: src.write_text(df, place))
+    passed = Flow("names", Path(names).to(lines)).evaluate(spark)["lines"]
+    written = spark.read.text(place).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return written.join(passed.select(F.col("value").alias("line")).distinct(), "line")
+
+
+def _plan_graph() -> Graph:
+    return Graph(*(Path(a).to(b, f"{a}{b}") for a, b in DAG))
+
+
+@query(f"""SELECT v AS id, (SELECT count(*) FROM {_DAG} WHERE dst = v) AS in_degree, (SELECT count(*) FROM {_DAG} WHERE src = v) AS out_degree,
+  (SELECT count(*) FROM {_DAG} WHERE src = v OR dst = v) AS subgraph_edges FROM (SELECT DISTINCT unnest([src, dst]) AS v FROM {_DAG})""")
+def plan_degrees(spark, sf_dir):
+    graph = _plan_graph()
+    rows = [(v, graph.in_degree(v), graph.out_degree(v), len(graph.subgraph(v).edges())) for v in graph.vertices()]
+    return spark.createDataFrame(rows, "id string, in_degree long, out_degree long, subgraph_edges long")
+
+
+@query(f"SELECT src, dst, true AS rises, false AS cycle, false AS doubled FROM {_DAG}")
+def plan_order(spark, sf_dir):
+    """Whether each edge leads on in the plan's topological order."""
+    graph = _plan_graph()
+    at = {v: i for i, v in enumerate(graph.topological_order())}
+    rows = [(a, b, at[a] < at[b], graph.has_cycle(), graph.has_duplicated_edge()) for a, _, b in graph.edges()]
+    return spark.createDataFrame(rows, "src string, dst string, rises boolean, cycle boolean, doubled boolean")
+
+
+@query("SELECT * FROM (VALUES ('added', 'd'), ('modified', 'a'), ('impacted', 'c')) t(change, processor)")
+def plan_diff(spark, sf_dir):
+    def node(name: str, description: str = "") -> Processor:
+        return Processor(name, lambda df: df, description=description)
+
+    before = Flow("f", Path(node("a")).to(node("b")), Path(node("a")).to(node("c")))
+    after = Flow("f", Path(node("a", "new")).to(node("b")), Path(node("a", "new")).to(node("c")).to(node("d")))
+    rows = [(change, name) for change, names in diff(before, after).items() for name in sorted(names)]
+    return spark.createDataFrame(rows, "change string, processor string")
+
+
 def _place(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, or in a local one where the master is local."""
     import uuid
@@ -651,6 +723,43 @@ def stateful_count(spark, sf_dir):
     return out.groupBy("event_type").agg(F.max_by("total", "batch").alias("total"))
 
 
+@query("SELECT r AS id, r * 1000 AS ts_ms FROM range(100, (SELECT 100 + count(*) FROM nation)) t(r)")
+def replayable_stream(spark, sf_dir):
+    """The numbered source from second 100 on, in micro-batches of 10 rows, as far as there are nations."""
+    src.register_replayable(spark)
+    place = _place(spark, "replay")
+    rows = 100 + table(spark, sf_dir, "nation").count()
+    options = {"rows": rows, "start_ms": 100_000, "batch": 10, "parallelism": 2}
+    stream = spark.readStream.format("sluice_replayable").options(**options).load()
+    query = src.file_stream(stream, f"{place}/out", f"{place}/checkpoint").start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema("id long, ts_ms long").parquet(f"{place}/out")
+
+
+@query(f"""WITH w AS (SELECT event_type, (epoch_us({HOUR}) // 1000) + 3600000 AS end_ms, sum({CENTS})::BIGINT AS total FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE end_ms < (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def timer_flush(spark, sf_dir):
+    """Hourly sums that a timer gives out once the watermark is past the hour; hours that aren't over give none."""
+    from sluice.streaming import flush_by_timer
+    from sluice.streaming.stateful import STORE, use_rocksdb
+
+    before = spark.conf.get(STORE)
+    use_rocksdb(spark)
+    try:
+        place = _place(spark, "timers")
+        rows = events(spark, sf_dir, "ts", "event_type", "value")
+        early = F.expr(f"ts < timestamp_ntz'{SPLIT_TS}'")
+        for i, part_of in enumerate((early, ~early)):
+            rows.where(part_of).write.parquet(f"{place}/in/part={i}")
+            stream = src.read_unbounded(spark, f"{place}/in/part=*", rows.schema, ts_col="ts").withColumn("cents", fn.cents(F.col("value")))
+            if (status := _run(flush_by_timer(stream.select("ts", "event_type", "cents"), "event_type", "cents", 3_600_000), place, "append")) != "succeeded":
+                raise RuntimeError(status)
+    finally:
+        spark.conf.set(STORE, before)
+    return spark.read.parquet(f"{place}/out").drop("batch")
+
+
 _LATE = f"event_id % 50 = 0 AND ts < TIMESTAMP '{SPLIT_TS}'"
 
 

@@ -97,14 +97,32 @@ def aggregated(metrics: DataFrame, name: str | None) -> DataFrame:
     return AGGREGATORS[name](metrics) if name in AGGREGATORS else metrics.limit(0)
 
 
+def _recorded(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with _r (number of the update among its key's), _n (how many there are), from 1."""
+    w = Window.partitionBy(*keys)
+    return df.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
+
+
 def sampled_counter(df: DataFrame, keys: list[str], order: list[str], value: Column, every: int) -> DataFrame:
     """(keys, n, counter): what a counter that records at every ``every``-th update, with all that came since the last, shows at the end."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("_v", value).withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
+    rows = _recorded(df.withColumn("_v", value), keys, order)
     full = F.col("_r") <= F.col("_n") - F.col("_n") % every
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(full, F.col("_v")).otherwise(0)).alias("counter"))
 
 
+def sampled_meter(df: DataFrame, keys: list[str], order: list[str], value: Column, every: int) -> DataFrame:
+    """(keys, mark, amount): the marks of a meter that records at every ``every``-th update all that came since the last; the rest is never marked."""
+    rows = _recorded(df.withColumn("_v", value), keys, order).where(F.col("_r") <= F.col("_n") - F.col("_n") % every)
+    mark = F.floor((F.col("_r") - 1) / every).cast("long").alias("mark")
+    return rows.groupBy(*keys, mark).agg(F.sum("_v").alias("amount"))
+
+
+def sampled_histogram(df: DataFrame, keys: list[str], order: list[str], value: Column, every: int) -> DataFrame:
+    """(keys, n, low, high, mean): of the values that a histogram keeps that records every ``every``-th update and drops those between."""
+    rows = _recorded(df.withColumn("_v", value), keys, order).where(F.col("_r") % every == 0)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"))
+
+
 def series(metrics: DataFrame, bucket_ms: int, sums: tuple[str, ...] = (), means: tuple[str, ...] = ()) -> DataFrame:
     """(bucket_ms, fields): one line of a chart per field, sorted by time."""
     bucket = (F.col("time_ms") - F.pmod("time_ms", F.lit(bucket_ms))).alias("bucket_ms")

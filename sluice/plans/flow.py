@@ -30,6 +30,16 @@ class Processor:
     life: LifeTime = LifeTime()
 
 
+def sink(name: str, write: Callable[[DataFrame], Any], parallelism: int = 1, description: str = "") -> Processor:
+    """A vertex that ends a flow: ``write`` gets the rows once the flow is evaluated, and they go on unchanged to whatever follows."""
+
+    def run(df: DataFrame) -> DataFrame:
+        write(df)
+        return df
+
+    return Processor(name, run, parallelism, description)
+
+
 class Flow:
     """A directed acyclic graph of processors; its edges carry a partitioner (a function of a DataFrame) or None, which leaves the exchange to Spark."""
 

@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sluice.model import millis
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
+#: The column of event times in ms, as timers count them (a name with an underscore first would be lost on the way to Python).
+MS = "event_ms"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -50,3 +54,44 @@ def counting(df: DataFrame, key: str) -> DataFrame:
 def running_sum(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, total) after each micro-batch that has the key: the sum of a whole-number column so far."""
     return _fold(df, key, value)
+
+
+class _Flush(StatefulProcessor):
+    """Keeps a sum per key and period of event time until a timer at the period's end goes off."""
+
+    def __init__(self, key: str, value: str, period_ms: int):
+        self.key, self.value, self.period = key, value, period_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "end_ms long", "total long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            ends = part[MS] // self.period * self.period + self.period
+            for end, total in part[self.value].groupby(ends).sum().items():
+                known = self.sums.containsKey((int(end),))
+                before = self.sums.getValue((int(end),))[0] if known else 0
+                self.sums.updateValue((int(end),), (before + int(total),))
+                if not known:
+                    self.handle.registerTimer(int(end))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        total = self.sums.getValue((end,))[0]
+        self.sums.removeKey((end,))
+        yield pd.DataFrame({self.key: [key[0]], "end_ms": [end], "total": [total]})
+
+    def close(self) -> None:
+        pass
+
+
+def flush_by_timer(df: DataFrame, key: str, value: str, period_ms: int, ts_col: str = "ts") -> DataFrame:
+    """(key, end_ms, total): the sum of a whole-number column per period, given out once, when the watermark on ``ts_col`` has passed the period's end.
+
+    One timer per key and period that has rows; rows behind the watermark are dropped; sums of periods that are not over stay in the state.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.withColumn(MS, millis(ts_col))
+    return rows.groupBy(key).transformWithStateInPandas(_Flush(key, value, period_ms), outputStructType=f"{key} {kind}, end_ms long, total long", outputMode="Append", timeMode="EventTime")

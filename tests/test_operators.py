@@ -262,6 +262,11 @@ def test_paths(spark):
 def test_sampling(spark):
     rows = spark.createDataFrame([("a", i, 1) for i in range(10)], "k string, i int, v int")
     assert metrics.sampled_counter(rows, ["k"], ["i"], F.col("v"), 4).first().counter == 8
+    marks = metrics.sampled_meter(rows, ["k"], ["i"], F.col("i"), 4).orderBy("mark").collect()
+    assert [(r.mark, r.amount) for r in marks] == [(0, 6), (1, 22)]
+    kept = metrics.sampled_histogram(rows, ["k"], ["i"], F.col("i"), 4).first()
+    assert (kept.n, kept.low, kept.high, kept.mean) == (2, 3, 7, 5.0)
+    assert metrics.sampled_histogram(rows, ["k"], ["i"], F.col("i"), 11).count() == 0
 
 
 def edges(spark, *pairs):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sluice import sources as src
 from sluice import streaming
 from sluice.model import LifeTime
-from sluice.plans import Flow, Graph, Processor, diff, replace_processor
+from sluice.plans import Flow, Graph, Processor, diff, replace_processor, sink
 from sluice.plans.graph import Path
 from sluice.streaming.app import batch_equal
 
@@ -85,6 +85,13 @@ def test_replacement(spark):
     assert {r.v: r.by for r in switch.collect()} == got
 
 
+def test_sink(spark):
+    seen = []
+    end = sink("end", lambda df: seen.extend(r.v for r in df.collect()))
+    flow = Flow("f", chain(make("one", lambda s: s.range(3).toDF("v")), end, make("after", lambda df: df)))
+    assert flow.evaluate(spark)["after"].count() == 3 and sorted(seen) == [0, 1, 2]
+
+
 def test_diff():
     a, b, c, d = (make(x, None) for x in "abcd")
     a2 = make("a", None, description="changed")
