@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,23 +49,45 @@ class Written:
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}", 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
+        path = self._write(df.write)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._written = path
+        return out
+
+    def bucketed(self, df: DataFrame, *cols: str) -> DataFrame:
+        """The same in one file for each hash of ``cols``, as many as there are shuffle partitions: joins on all of ``cols`` and nothing else leave its rows where they are.
+
+        The session's catalogue holds the table only until it is looked up here."""
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"sluice_{uuid.uuid4().hex}"
+        path = self._write(df.repartition(n, *cols).write.bucketBy(n, *cols), name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        out._written = path
+        return out
+
+    def _write(self, writer: DataFrameWriter, name: str | None = None) -> str:
         self.n += 1
         path = f"{self.path}/{self.n}"
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            writer = writer.option("compression", "zstd").option("path", path).format("parquet")
+            writer.saveAsTable(name) if name else writer.save()
         finally:
             self.spark.conf.set(CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._written = path
-        return out
+        return path
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
+        self._delete(*(table._written for table in tables))
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Deletes all tables of this run but these, which the result reads."""
+        self._delete(*({f"{self.path}/{i + 1}" for i in range(self.n)} - {table._written for table in tables}))
+
+    def _delete(self, *paths: str) -> None:
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._written)
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
             path.getFileSystem(hadoop).delete(path, True)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,12 +179,14 @@ def occurrences_of(slim: DataFrame) -> DataFrame:
 
 
 def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) -> DataFrame:
-    """Edges (a, b) between the nodes of ``lines`` (node, first, *wide.COLUMNS: different lines) whose closure is that of all links of ``near``."""
+    """Edges (a, b) between the nodes of ``lines`` (node, first, *wide.COLUMNS: different lines) whose closure is that of all links of ``near``.
+
+    ``slim``: (row, of, text), in buckets by row and of, :func:`of` the id."""
     small_batches(slim.sparkSession)
     found = wide.groups(lines.select("node", *wide.COLUMNS), written, near.width, near.tables, near.most_64)
     wanted = lines.join(found.select("node").distinct(), "node", "left_semi")
     place = F.struct("node", F.col("first.line").alias("line"), *wide.COLUMNS)
-    asked = written(wanted.groupBy(F.col("first.id").alias("of"), F.col("first.row").alias("of_row")).agg(F.collect_list(place).alias("asked")))
+    asked = written(wanted.groupBy(F.col("first.row").alias("row"), of("first.id").alias("of")).agg(F.collect_list(place).alias("asked")))
     schema = {"node": pa.int64(), "text": pa.string()} | dict.fromkeys(wide.COLUMNS, pa.int64())
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,7 +200,7 @@ def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) ->
         columns = {"node": flat.field("node"), "text": pa.array(texts, pa.string())} | {k: flat.field(k) for k in wide.COLUMNS}
         return pa.RecordBatch.from_arrays([columns[k] for k in schema], names=list(schema))
 
-    matched = slim.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("text", "asked")
+    matched = slim.join(asked, ["row", "of"]).select("text", "asked")
     # rows with one id and one text give their lines again
     texts = written(map_batches(matched, fetch, spark_schema(schema)).dropDuplicates(["node"]))
 
@@ -234,12 +236,16 @@ def kept_of(lines: DataFrame, edges: DataFrame, written: Written) -> DataFrame:
     keep = ("h1", "h2", "first.id", "first.row", "first.line")
     if edges.isEmpty():
         return written(lines.where("n > 1").select(*keep))
-    labels = components(edges, written)
-    labels = written(labels.join(lines.select("node", "h1", "h2", "first"), "node"))
-    tops = written(labels.groupBy("label").agg(F.min("first").alias("first")))
-    grouped_lines = labels.drop("first").join(tops, "label").select(*keep)
-    alone = lines.where("n > 1").join(labels.select("node"), "node", "left_anti").select(*keep)
-    return written(grouped_lines.union(alone))
+    marked = lines.select("node", "h1", "h2", "first", "n").join(components(edges, written), "node", "left")
+    marked = written(marked.where("n > 1 or label is not null"))
+    tops = written(marked.where("label is not null").groupBy("label").agg(F.min("first").alias("first")))
+    grouped_lines = marked.drop("first").join(tops, "label").select(*keep)
+    return written(grouped_lines.union(marked.where("label is null").select(*keep)))
+
+
+def of(id_col: str) -> Column:
+    """A hash of the id, never null; with the row (:func:`numbered`) it tells documents apart, by 128 bits."""
+    return F.xxhash64(F.col(id_col))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, as_: str, written: Written) -> DataFrame:
@@ -259,7 +265,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole corpus one occurrence stays: that with the smallest id, then the first in its text.  Lines without a word always stay.
 
     Copies count once from the first shuffle on; links are searched among different lines only, by block keys; texts of lines are fetched
-    for those with a near fingerprint.  Null text stays null, empty stays empty.  Rows with one id and one text count as one document, so each keeps
+    for those with a near fingerprint.  Texts are shuffled once, into a bucketed copy of docs that both joins with it read in place.  Null text stays null, empty stays empty.  Rows with one id and one text count as one document, so each keeps
     the same lines; rows with one id and different texts (by 64 bits of hash) are documents of their own, in the order of the hashes.  So are all rows with a
     null id, which are written with their numbers first; null is the last id.  Other columns are carried along whatever their names (``as_`` must be new).  An empty
     table stays empty.
@@ -267,10 +273,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if as_ in docs.columns:
         raise ValueError(f"column {as_} exists")
     written = Written(docs.sparkSession, "lines")
-    row, of, of_row, drop = (free_name(docs.columns, x) for x in ("row", "of", "of_row", "gone"))
-    columns, docs = docs.columns, numbered(docs, id_col, text_col, row, written)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    occurrences = written(occurrences_of(slim))
+    row, id_hash, drop = (free_name(docs.columns, x) for x in ("row", "of", "gone"))
+    columns, void = docs.columns, [c for c, kind in docs.dtypes if kind == "void"]  # these can't be written
+    docs = numbered(docs, id_col, text_col, row, written).withColumn(id_hash, of(id_col)).drop(*void)
+    docs = written.bucketed(docs, row, id_hash)
+    occurrences = written(occurrences_of(docs.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))))
+    slim = docs.select(F.col(row).alias("row"), F.col(id_hash).alias("of"), F.col(text_col).alias("text"))
     # the first occurrence of each different line
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")).alias("first")
     lines = occurrences.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("n"), *(F.min(k).alias(k) for k in wide.COLUMNS))
@@ -279,10 +287,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = kept.select("h1", "h2", F.col("id").alias("kept_id"), F.col("row").alias("kept_row"), F.col("line").alias("kept_line"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")) & (F.col("line") == F.col("kept_line"))
     gone = occurrences.select("id", "row", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(~same)
-    gone = written(gone.groupBy("id", "row").agg(F.collect_set("line").alias("gone")))
-    written.drop(occurrences, lines)
-    gone = gone.select(F.col("id").alias(of), F.col("row").alias(of_row), F.col("gone").alias(drop))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(row) == F.col(of_row)), "left").drop(of, of_row, row)
+    gone = written(gone.groupBy(F.col("row").alias(row), of("id").alias(id_hash)).agg(F.collect_set("line").alias(drop)))
+    written.drop_but(docs, gone)
+    joined = docs.join(gone, [row, id_hash], "left").drop(row, id_hash).withColumns({c: F.lit(None) for c in void})
     return _with_lines(joined, columns, text_col, drop, as_)
 
 

@@ -124,7 +124,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Rows count by themselves, whatever their ids: of repeated rows one stays, rows with one id or none and unlike texts all stay.  Null text counts as empty;
     texts without a word are copies of each other.  Copies are one node from the first aggregate on.  Rows are written once with their numbers, so that
-    each is told apart until the end.  An empty table stays empty; other columns are carried along whatever their names.
+    each is told apart until the end, where only the numbers of those that go are joined with texts, which stay where they are if these are few.  An empty table stays empty; other columns are carried along whatever their names.
     """
     written = Written(docs.sparkSession, "keep-one")
     row, mark = free_name(docs.columns, "row"), free_name(docs.columns, "kept_row")
@@ -161,4 +161,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         labelled = nodes.select("node", "first").join(labels, "node", "left")
         alone = F.when(F.col("label").isNull(), F.col("node"))
         keep = labelled.groupBy("label", alone.alias("alone")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(mark))
-    return numbered.join(written(keep), F.col(row) == F.col(mark), "left_semi").drop(row)
+    keep = written(keep)
+    gone = written(numbered.select(row).join(keep, F.col(row) == F.col(mark), "left_anti").withColumnRenamed(row, mark))
+    written.drop_but(numbered, gone)
+    return numbered.join(gone, F.col(row) == F.col(mark), "left_anti").drop(row)

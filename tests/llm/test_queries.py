@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -233,6 +234,48 @@ def test_line_dedup_by_edits(spark):
     assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines.kept} == set(first.values())
 
 
+def exchanges(df):
+    """The nodes of a query's plan that move rows."""
+    return re.findall(r"(?m)Exchange .*$", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.fixture
+def tables(spark, monkeypatch):
+    """Where operators write, as lists of the tables that are there; joins broadcast next to nothing."""
+    made = []
+    monkeypatch.setattr(Written, "__init__", lambda self, *a, f=Written.__init__: (f(self, *a), made.append(self.path.removeprefix("file:")))[0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    yield lambda: [sorted(x.name for x in Path(path).iterdir()) for path in made]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_line_dedup_moves_texts_once(spark, tables):
+    """The result reads a bucketed copy of the documents where it lies, and no other table but that of removed lines is left."""
+    rng = random.Random(6)
+    lines = [" ".join(str(rng.getrandbits(40)) for _ in range(8)) for _ in range(1500)]
+    rows = [(i if i % 100 else None, "\n".join((x, rng.choice(lines[:300])))) for i, x in enumerate(lines, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"none": F.lit(None), "of": F.lit("of")})
+    out = line_dedup.dedup_lines(df)
+    assert "Bucketed: true" in out._jdf.queryExecution().executedPlan().toString()
+    assert len(exchanges(out)) == 1 and len(tables()[0]) == 2 and not spark.catalog.listTables()
+    got = out.collect()
+    kept, _ = brute_lines(rows)
+    want = {(d, "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) in kept)) for i, (d, t) in enumerate(rows)}
+    assert len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == want
+    assert out.columns == [*df.columns, "lines"] and all((r["none"], r.of) == (None, "of") for r in got)
+
+
+def test_keep_one_moves_no_texts(spark, tables):
+    """Where few documents go, all others stay where they are; no other table but that of the documents and of those that go is left."""
+    rng = random.Random(9)
+    texts = [" ".join(str(rng.getrandbits(40)) for _ in range(12)) for _ in range(6000)]
+    df = spark.createDataFrame([*enumerate(texts), (6000, texts[5])], "doc_id long, text string")
+    out = simhash.keep_one(df)
+    assert not [x for x in exchanges(out) if "Broadcast" not in x] and len(tables()[0]) == 2
+    assert {r.doc_id for r in out.collect()} == set(range(6000))
+
+
 def test_line_digests():
     """Words that polynomial hashes modulo 2**64 don't tell apart make different lines."""
     a = "ab"
