@@ -43,10 +43,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Written:
-    """Tables written in the shared folder by one run of an operator: they cut lineage and survive lost executors."""
+    """Tables written in the shared folder by one run of an operator: they cut lineage and survive lost executors.
 
-    def __init__(self, spark: SparkSession, name: str):
+    ``options``: for the Parquet writer; ``conf``: settings of the session while a table is written, the session's own again after it."""
+
+    def __init__(self, spark: SparkSession, name: str, options: dict[str, str] | None = None, conf: dict[str, str] | None = None):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}", 0
+        self.options, self.conf = {"compression": "zstd"} | (options or {}), {CLEANUP: "true"} | (conf or {})
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = self._write(df.write)
@@ -68,13 +71,15 @@ class Written:
     def _write(self, writer: DataFrameWriter, name: str | None = None) -> str:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in self.conf}
         try:
-            writer = writer.option("compression", "zstd").option("path", path).format("parquet")
+            for k, v in self.conf.items():
+                self.spark.conf.set(k, v)
+            writer = writer.options(**self.options).option("path", path).format("parquet")
             writer.saveAsTable(name) if name else writer.save()
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return path
 
     def drop(self, *tables: DataFrame) -> None:

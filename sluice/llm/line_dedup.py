@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import wide
-from sluice.llm.common import Written, free_name, hash_spans, map_batches, slices, small_batches, spark_schema, text_bytes, word_spans
+from sluice.llm.common import BASE, Written, free_name, hash_spans, map_batches, mix, slices, small_batches, spark_schema, text_bytes, word_spans
 from sluice.llm.components import components
 from sluice.llm.tiles import grouped
 
 LINES = {"line": pa.int32(), "h1": pa.int64(), "h2": pa.int64()} | dict.fromkeys(wide.COLUMNS, pa.int64())
 
+#: Written tables are read soon and hold hashes, ids and texts, which a dictionary doesn't make smaller.
+OPTIONS = {"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+#: Lists are gathered by hash for up to so many documents before Spark sorts rows instead (its own figure is 128).
+GATHERED = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(1 << 16)}
+
 
 @dataclass(frozen=True)
 class Near:
@@ -37,23 +42,61 @@ def normal(line: str) -> str:
     return b" ".join(line.lower().encode().split()).decode()
 
 
+def once(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each entry is the one that stands for all with its owner and hash.
+
+    Each writes its number where a mix of both says, and compares itself with whose number is there; where another one's is, again with the next mix.
+    """
+    keep = np.zeros(len(h), bool)
+    bits = max(4, (4 * len(h)).bit_length())
+    table = np.empty(1 << bits, np.int64)
+    left = np.arange(len(h))
+    mixed = mix(h + owner.astype(np.uint64) * np.uint64(BASE))
+    while len(left):
+        at = (mixed >> np.uint64(64 - bits)).astype(np.int64)
+        table[at] = left
+        held = table[at]
+        keep[held] = True
+        other = np.flatnonzero((h[held] != h[left]) | (owner[held] != owner[left]))
+        left, mixed = left[other], mix(mixed[other] + np.uint64(BASE))
+    return keep
+
+
 def lines_of(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """For every line with a word: the text it is in, and LINES: its number there, a 128-bit BLAKE2 digest of its normal form, and the SimHash of
     its different words, so that one that comes again and again, such as a bullet, doesn't decide it."""
-    text, number, digests, words = [], [], [], []
-    for i, t in enumerate(texts):
-        for k, line in enumerate(t.lower().encode().split(b"\n")):
-            if own := line.split():
-                text.append(i)
-                number.append(k)
-                digests.append(hashlib.blake2b(b" ".join(own), digest_size=16).digest())
-                words.append(b" ".join(dict.fromkeys(own)))
-    digests = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    raw = np.frombuffer(b"".join(words), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int64)
-    start, end, at = word_spans(raw, bounds)
-    prints = wide.majority(hash_spans(raw, start, end), at).view(np.int64)
-    return np.array(text, np.int64), {"line": np.array(number, np.int32), "h1": digests[:, 0], "h2": digests[:, 1]} | {k: prints[:, i] for i, k in enumerate(wide.COLUMNS)}
+    own = [t.lower().encode() for t in texts]
+    whole = b"\n".join(own)
+    raw = np.frombuffer(whole, np.uint8)
+    ends = np.append(np.flatnonzero(raw == 0x0A), len(raw))
+    low = np.concatenate(([0], ends[:-1] + 1))
+    start, end, _ = word_spans(raw, np.array([0, len(raw)]))
+    words = np.diff(np.searchsorted(start, np.append(low, len(raw) + 1)))
+    some = np.flatnonzero(words)
+    if not len(some):
+        empty = np.empty(0, np.int64)
+        return empty, {"line": empty.astype(np.int32)} | dict.fromkeys(list(LINES)[1:], empty)
+    low, ends, words = low[some], ends[some], words[some]
+    bounds = np.concatenate(([0], np.cumsum(words)))
+    top = np.cumsum([0] + [len(x) + 1 for x in own[:-1]])
+    text = np.searchsorted(top, low, "right") - 1
+    newlines = np.concatenate(([0], np.cumsum([x.count(b"\n") + 1 for x in own[:-1]], dtype=np.int64)))
+    # a line is its normal form if all its white space is one 0x20 between two words
+    changed = ends - low != np.add.reduceat(end - start, bounds[:-1]) + words - 1
+    tabs = np.flatnonzero((raw >= 0x09) & (raw <= 0x0D) & (raw != 0x0A))
+    changed |= np.searchsorted(tabs, low) != np.searchsorted(tabs, ends)
+    normals = [whole[a:b] for a, b in zip(low.tolist(), ends.tolist(), strict=True)]
+    for i in np.flatnonzero(changed).tolist():
+        normals[i] = b" ".join(normals[i].split())
+    digests = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in normals]), np.int64).reshape(-1, 2)
+    h, line = hash_spans(raw, start, end), np.repeat(np.arange(len(some)), words)
+    keep = once(line, h)
+    prints = wide.majority(h[keep], np.searchsorted(line[keep], np.arange(len(some) + 1))).view(np.int64)
+    return text, {"line": (some - newlines[text]).astype(np.int32), "h1": digests[:, 0], "h2": digests[:, 1]} | {k: prints[:, i] for i, k in enumerate(wide.COLUMNS)}
+
+
+#: Characters after which :func:`within` looks whether too many edits are needed already.
+CHUNK = 32
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -74,22 +117,23 @@ def within(a: str, b: str, most: int) -> bool:
         return max(len(a), len(b)) <= most
     if len(a) > len(b):
         a, b = b, a
-    m = len(a)
-    full, top = (1 << m) - 1, 1 << (m - 1)
+    m, n = len(a), len(b)
+    full = (1 << m) - 1
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
-    up, down, distance = full, 0, m
-    for k, c in enumerate(b, 1):
-        eq = where.get(c, 0)
-        across = (((eq & up) + up) ^ up) | eq
-        plus, minus = down | (full & ~(across | up)), up & across
-        distance += bool(plus & top) - bool(minus & top)
-        if distance - (len(b) - k) > most:
+    up, down = full, 0  # bits above m never come down; up has none
+    for k in range(0, n, CHUNK):
+        for eq in [where.get(c, 0) for c in b[k : k + CHUNK]]:
+            eq |= down
+            across = (((eq & up) + up) ^ up) | eq
+            plus = (down | (full & ~(across | up))) << 1 | 1
+            down = plus & across
+            up = full & ((up & across) << 1 | ~(plus | across))
+        read = min(n, k + CHUNK)
+        distance = read + up.bit_count() - (down & full).bit_count()
+        if distance - (n - read) > most:
             return False
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        eq |= down
-        up, down = minus | (full & ~(eq | plus)), plus & eq
     return distance <= most
 
 
@@ -97,10 +141,9 @@ def within(a: str, b: str, most: int) -> bool:
 AHEAD = 6
 
 
-def at_most(a: str, b: str, enough: int) -> int:
-    """A number of edits that makes b of a, not always the least: words in common are walked through, what differs between two counts by its longer side;
+def at_most(x: list[str], y: list[str], enough: int) -> int:
+    """A number of edits that makes the words y of x (with a space between any two), not always the least: words in common are walked through, what differs between two counts by its longer side;
     over ``enough`` if that is over it."""
-    x, y = a.split(" "), b.split(" ")
     i = j = edits = 0
     n, m = len(x), len(y)
     while i < n and j < m:
@@ -108,12 +151,16 @@ def at_most(a: str, b: str, enough: int) -> int:
             i += 1
             j += 1
             continue
+        found = -1
         for far in range(1, AHEAD + 1):
-            found = next((k for k in range(far + 1) if i + k < n and j + far - k < m and x[i + k] == y[j + far - k]), None)
-            if found is not None:
+            for k in range(max(0, far - m + j + 1), min(far + 1, n - i)):
+                if x[i + k] == y[j + far - k]:
+                    found = k
+                    break
+            if found >= 0:
                 break
         else:
-            found, far = min(AHEAD // 2, n - i, m - j), AHEAD
+            found = min(AHEAD // 2, n - i, m - j)
             far = 2 * found
         left, right = x[i : i + found], y[j : j + far - found]
         i, j = i + found, j + far - found
@@ -127,7 +174,7 @@ def at_most(a: str, b: str, enough: int) -> int:
 def similar(a: str, b: str, percent: int) -> bool:
     """Whether 1 - edits / characters of the longer is at least ``percent`` of a hundred."""
     most = max(len(a), len(b)) * (100 - percent) // 100
-    return abs(len(a) - len(b)) <= most and (at_most(a, b, most) <= most or within(a, b, most))
+    return abs(len(a) - len(b)) <= most and (at_most(a.split(" "), b.split(" "), most) <= most or within(a, b, most))
 
 
 def counts(lines: list[str], kinds: int = 128) -> np.ndarray:
@@ -142,22 +189,56 @@ def counts(lines: list[str], kinds: int = 128) -> np.ndarray:
 def alike(texts: list[str], prints: np.ndarray, near: Near) -> Iterator[np.ndarray]:
     """The connected groups (of two and more) of texts with near ``prints`` that are :func:`similar`, as lists of positions."""
     size = np.array([len(x) for x in texts])
+    words: dict[int, list[str]] = {}
     pairs: dict[int, np.ndarray] = {}
 
+    def split(i: int) -> list[str]:
+        if i not in words:
+            words[i] = texts[i].split(" ")
+        return words[i]
+
     def kinds(i: int) -> np.ndarray:
         if i not in pairs:
             pairs[i] = counts([texts[i]])[0]
         return pairs[i]
 
-    def linked(i: int, others: np.ndarray) -> np.ndarray:
-        most = np.maximum(size[others], size[i]) * (100 - near.percent) // 100
-        out = np.abs(size[others] - size[i]) <= most
-        for k in np.flatnonzero(out):
-            a, b, own = texts[i], texts[others[k]], int(most[k])
-            out[k] = at_most(a, b, own) <= own or (np.abs(kinds(int(others[k])) - kinds(i)).sum() <= 4 * own and within(a, b, own))
+    def most(i: int, others: np.ndarray) -> np.ndarray:
+        return np.maximum(size[others], size[i]) * (100 - near.percent) // 100
+
+    def surely(i: int, others: np.ndarray) -> np.ndarray:
+        own = most(i, others)
+        out = np.abs(size[others] - size[i]) <= own
+        for k in np.flatnonzero(out).tolist():
+            out[k] = at_most(split(i), split(int(others[k])), enough := int(own[k])) <= enough
         return out
 
-    return wide.walk(prints, near.most, linked)
+    # groups by links that the bound over words accepts; then what else links these
+    found = list(wide.walk(prints, near.most, surely))
+    label = np.arange(len(texts))
+    for group in found:
+        label[group] = group[0]
+    members = dict(zip(range(len(texts)), np.arange(len(texts)).reshape(-1, 1), strict=True)) | {int(g[0]): g for g in found}
+    left = np.arange(len(texts))
+    while len(left):
+        group = [members[int(label[left[0]])]]
+        left = left[label[left] != label[left[0]]]
+        queue = group[0].tolist()
+        while queue and len(left):
+            i = queue.pop()
+            close = left[np.bitwise_count(prints[left] ^ prints[i]).sum(1, dtype=np.int64) <= near.most]
+            own = most(i, close)
+            fits = np.abs(size[close] - size[i]) <= own
+            gone: set[int] = set()
+            for j, enough in zip(close[fits].tolist(), own[fits].tolist(), strict=True):
+                other = int(label[j])
+                if other not in gone and np.abs(kinds(j) - kinds(i)).sum() <= 4 * enough and within(texts[i], texts[j], enough):
+                    gone.add(other)
+                    group.append(members[other])
+                    queue.extend(members[other].tolist())
+            if gone:
+                left = left[~np.isin(label[left], list(gone))]
+        if len(whole := np.concatenate(group)) > 1:
+            yield whole
 
 
 def occurrences_of(slim: DataFrame) -> DataFrame:
@@ -178,15 +259,16 @@ def occurrences_of(slim: DataFrame) -> DataFrame:
     return map_batches(slim, split, T.StructType([slim.schema["id"], slim.schema["row"], *spark_schema(LINES).fields]))
 
 
-def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) -> DataFrame:
-    """Edges (a, b) between the nodes of ``lines`` (node, first, *wide.COLUMNS: different lines) whose closure is that of all links of ``near``.
+def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between the nodes of ``lines`` (node, id, row, line, *wide.COLUMNS: different lines, each with some occurrence) whose closure is that of
+    all links of ``near``, and the rows of ``lines`` that may have any.
 
     ``slim``: (row, of, text), in buckets by row and of, :func:`of` the id."""
     small_batches(slim.sparkSession)
     found = wide.groups(lines.select("node", *wide.COLUMNS), written, near.width, near.tables, near.most_64)
-    wanted = lines.join(found.select("node").distinct(), "node", "left_semi")
-    place = F.struct("node", F.col("first.line").alias("line"), *wide.COLUMNS)
-    asked = written(wanted.groupBy(F.col("first.row").alias("row"), of("first.id").alias("of")).agg(F.collect_list(place).alias("asked")))
+    wanted = written(lines.join(found.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"))
+    place = F.struct("node", "line", *wide.COLUMNS)
+    asked = written(wanted.groupBy("row", of("id").alias("of")).agg(F.collect_list(place).alias("asked")))
     schema = {"node": pa.int64(), "text": pa.string()} | dict.fromkeys(wide.COLUMNS, pa.int64())
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,9 +282,10 @@ def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) ->
         columns = {"node": flat.field("node"), "text": pa.array(texts, pa.string())} | {k: flat.field(k) for k in wide.COLUMNS}
         return pa.RecordBatch.from_arrays([columns[k] for k in schema], names=list(schema))
 
-    matched = slim.join(asked, ["row", "of"]).select("text", "asked")
+    # the texts stream by what is asked of their bucket, so they need no sort
+    matched = slim.join(asked.hint("shuffle_hash"), ["row", "of"]).select("text", "asked")
     # rows with one id and one text give their lines again
-    texts = written(map_batches(matched, fetch, spark_schema(schema)).dropDuplicates(["node"]))
+    texts = map_batches(matched, fetch, spark_schema(schema)).dropDuplicates(["node"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, 1):
@@ -228,19 +311,22 @@ def edges_of(slim: DataFrame, lines: DataFrame, near: Near, written: Written) ->
 
     rows = found.join(texts, "node").select("key", "node", "text", *wide.COLUMNS)
     linked = rows.repartition("key").sortWithinPartitions("key").mapInArrow(verify, spark_schema({"a": pa.int64(), "b": pa.int64()}))
-    return written(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return written(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), wanted
 
 
-def kept_of(lines: DataFrame, edges: DataFrame, written: Written) -> DataFrame:
-    """(h1, h2, id, row, line): the occurrence kept of lines that have any other or belong to a group of different lines."""
-    keep = ("h1", "h2", "first.id", "first.row", "first.line")
-    if edges.isEmpty():
-        return written(lines.where("n > 1").select(*keep))
-    marked = lines.select("node", "h1", "h2", "first", "n").join(components(edges, written), "node", "left")
-    marked = written(marked.where("n > 1 or label is not null"))
-    tops = written(marked.where("label is not null").groupBy("label").agg(F.min("first").alias("first")))
-    grouped_lines = marked.drop("first").join(tops, "label").select(*keep)
-    return written(grouped_lines.union(marked.where("label is null").select(*keep)))
+def gone_of(occurrences: DataFrame, lines: DataFrame, edges: DataFrame, wanted: DataFrame, written: Written) -> DataFrame:
+    """(id, row, line): all occurrences but the first of each connected group, which is a line with its copies or holds different lines."""
+    marked = lines.where("n > 1")
+    if not edges.isEmpty():
+        labels = components(edges, written)
+        alone = marked.join(labels, "node", "left_anti").select("h1", "h2", F.col("node").alias("label"))
+        marked = alone.union(wanted.join(labels, "node").select("h1", "h2", "label"))
+    else:
+        marked = marked.select("h1", "h2", F.col("node").alias("label"))
+    members = written(occurrences.select("id", "row", "line", "h1", "h2").join(written(marked).hint("shuffle_hash"), ["h1", "h2"]).select("label", "id", "row", "line"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
+    tops = written(members.groupBy("label").agg(F.min(place).alias("first")))
+    return members.join(tops, "label").where(place != F.col("first")).select("id", "row", "line")
 
 
 def of(id_col: str) -> Column:
@@ -272,36 +358,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if as_ in docs.columns:
         raise ValueError(f"column {as_} exists")
-    written = Written(docs.sparkSession, "lines")
+    written = Written(docs.sparkSession, "lines", OPTIONS, GATHERED)
     row, id_hash, drop = (free_name(docs.columns, x) for x in ("row", "of", "gone"))
     columns, void = docs.columns, [c for c, kind in docs.dtypes if kind == "void"]  # these can't be written
     docs = numbered(docs, id_col, text_col, row, written).withColumn(id_hash, of(id_col)).drop(*void)
     docs = written.bucketed(docs, row, id_hash)
     occurrences = written(occurrences_of(docs.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))))
     slim = docs.select(F.col(row).alias("row"), F.col(id_hash).alias("of"), F.col(text_col).alias("text"))
-    # the first occurrence of each different line
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")).alias("first")
-    lines = occurrences.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("n"), *(F.min(k).alias(k) for k in wide.COLUMNS))
+    # of each different line some occurrence, from one row as all are aggregated alike; no least one, so that fixed-width ids are aggregated by hash
+    some = [F.first(k).alias(k) for k in ("id", "row", "line")]
+    lines = occurrences.groupBy("h1", "h2").agg(*some, F.count(F.lit(1)).alias("n"), *(F.min(k).alias(k) for k in wide.COLUMNS))
     lines = written(lines.withColumn("node", F.monotonically_increasing_id()))
-    kept = kept_of(lines, edges_of(slim, lines, near, written), written)
-    stays = kept.select("h1", "h2", F.col("id").alias("kept_id"), F.col("row").alias("kept_row"), F.col("line").alias("kept_line"))
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")) & (F.col("line") == F.col("kept_line"))
-    gone = occurrences.select("id", "row", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(~same)
+    gone = gone_of(occurrences, lines, *edges_of(slim, lines, near, written), written)
     gone = written(gone.groupBy(F.col("row").alias(row), of("id").alias(id_hash)).agg(F.collect_set("line").alias(drop)))
     written.drop_but(docs, gone)
-    joined = docs.join(gone, [row, id_hash], "left").drop(row, id_hash).withColumns({c: F.lit(None) for c in void})
+    joined = docs.join(gone.hint("shuffle_hash"), [row, id_hash], "left").drop(row, id_hash).withColumns({c: F.lit(None) for c in void})
     return _with_lines(joined, columns, text_col, drop, as_)
 
 
 def _with_lines(joined: DataFrame, columns: list[str], text_col: str, drop: str, as_: str) -> DataFrame:
-    text = F.col(text_col)
-    parts = F.split(text, "\n", -1)
-    left = F.when(F.col(drop).isNull(), parts).otherwise(F.filter(parts, lambda x, i: ~F.array_contains(F.col(drop), i)))
-    out = joined.withColumn(drop, F.struct(F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n"), left.alias("left")))
-    n = F.when(text.isNull(), 0).otherwise(F.col(f"{drop}.n")).cast("long")
-    kept = F.when(text.isNull(), 0).otherwise(F.size(F.col(f"{drop}.left"))).cast("long")
-    news = {c: F.array_join(F.col(f"{drop}.left"), "\n") if c == text_col else F.col(c) for c in columns}
-    return out.select(*(v.alias(k) for k, v in news.items()), F.struct(n.alias("n"), kept.alias("kept")).alias(as_))
+    text, gone = F.col(text_col), F.col(drop)
+    some = gone.isNotNull()
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    n = F.when(text.isNull(), 0).otherwise(F.coalesce(newlines, F.lit(0)) + 1).cast("long")
+    kept = n - F.when(some, F.size(gone)).otherwise(0)
+    news = {c: F.when(some, left).otherwise(text) if c == text_col else F.col(c) for c in columns}
+    return joined.select(*(v.alias(k) for k, v in news.items()), F.struct(n.alias("n"), kept.alias("kept")).alias(as_))
 
 
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -201,7 +201,7 @@ def groups(nodes: DataFrame, written: Written, width: int, tables: int, most: in
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             for a, b in zip(first, np.append(first[1:], len(part)), strict=True):
                 key, node, check = (np.frombuffer(b"".join(batch.column(i).slice(a, b - a).to_pylist()), kind) for i, kind in ((1, np.uint64), (2, np.int64), (3, np.uint64)))
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)  # any order within a key
                 key = key[order]
                 hit = np.flatnonzero(near_in_tile(key, check[order], most))
                 if len(hit):

@@ -1,6 +1,7 @@
 """Plain-Python checks of the numpy and string kernels, without Spark."""
 
 import base64
+import hashlib
 import random
 import re
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from sluice.llm import byte_bpe, classifier, common, line_dedup, nearest, packing, quality_rules, simhash, tiles, token_counts
+from sluice.llm import byte_bpe, classifier, common, line_dedup, nearest, packing, quality_rules, simhash, tiles, token_counts, wide
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "\n", "a", "é ü", "a b c", "x\n\n y\t z \x0b q", "漢字 🎉", "\x1c x", "A" * 5000, "w " * 3000]
@@ -186,6 +187,33 @@ def test_lines():
     assert len(set(same.values())) == len(same)
 
 
+def test_lines_by_definition():
+    """Digests and fingerprints are those of each line's normal form and different words, whatever stands between words."""
+    texts = [*ODD, *random_texts(12, 200, ["a", "bb", "a", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x85", "é", "İ"], 40), "a b " * 300 + "\n" + "a b " * 300]
+    for part in (texts, texts[::-1], texts[:3], []):
+        whose, made = line_dedup.lines_of(part)
+        want = [(i, j, x) for i, t in enumerate(part) for j, x in enumerate(t.split("\n")) if WORD.search(x)]
+        assert [(i, j) for i, j, _ in want] == list(zip(whose.tolist(), made["line"].tolist(), strict=True))
+        for k, (_, _, x) in enumerate(want):
+            normal = line_dedup.normal(x).encode()
+            assert hashlib.blake2b(normal, digest_size=16).digest() == made["h1"][k].tobytes() + made["h2"][k].tobytes()
+            raw, bounds = common.text_bytes(pa.array([b" ".join(set(normal.split())).decode()]))
+            start, end, at = common.word_spans(raw, bounds)
+            assert [made[c][k] for c in wide.COLUMNS] == wide.majority(common.hash_spans(raw, start, end), at).view(np.int64)[0].tolist()
+
+
+def test_groups_of_similar_lines(monkeypatch):
+    """Edits are counted only between lines that no bound over words links, nor a path of such links; what they link is found too."""
+    base = [f"{c}{c}{c}{d}{d}" for c, d in zip("abcdefghijklmnopqrst", "bcdefghijklmnopqrstu", strict=True)]
+    changed = lambda x, at: " ".join("z" + w[1:] if k in at else w for k, w in enumerate(x))
+    texts = [changed(base, range(0)), changed(base, range(3)), changed(base, range(6)), "something else", changed(base, range(20))]
+    asked = []
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, most, f=line_dedup.within: asked.append((a, b)) or f(a, b, most))
+    found = lambda n: [set(g.tolist()) for g in line_dedup.alike(texts[:n], np.zeros((n, 4), np.uint64), line_dedup.Near())]
+    assert found(4) == [{0, 1, 2}] and not asked
+    assert found(5) == [{0, 1, 2, 4}] and asked
+
+
 @pytest.fixture(scope="module")
 def codec():
     return byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)

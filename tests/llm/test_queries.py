@@ -266,6 +266,23 @@ def test_line_dedup_moves_texts_once(spark, tables):
     assert out.columns == [*df.columns, "lines"] and all((r["none"], r.of) == (None, "of") for r in got)
 
 
+def test_line_dedup_sorts_no_texts(spark, tables, monkeypatch):
+    """Texts meet what is asked of them, and removed lines, by hash; different lines with ids of a fixed width are gathered by hash; settings are as before."""
+    plans = []
+    monkeypatch.setattr(Written, "__call__", lambda self, df, f=Written.__call__: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(self, df))
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    rows = [(i, f"line {i // 2} of these\nanother {i} line") for i in range(300)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    result = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in result and not re.search(r"\bSort\b|SortMergeJoin", result)
+    own = [x for x in plans if "keys=[h1#" in x]
+    assert len(own) == 1 and "HashAggregate(keys=[h1#" in own[0] and "SortAggregate" not in own[0]
+    assert {r.key: r.value for r in spark.sql("SET").collect()}.items() - before.items() <= {("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))}
+    kept, _ = brute_lines(rows)
+    want = {(i, "\n".join(left), 2, len(left)) for i, t in rows for left in [[x for j, x in enumerate(t.split("\n")) if (i, j) in kept]]}
+    assert {(r.doc_id, r.text, r.lines.n, r.lines.kept) for r in out.collect()} == want
+
+
 def test_keep_one_moves_no_texts(spark, tables):
     """Where few documents go, all others stay where they are; no other table but that of the documents and of those that go is left."""
     rng = random.Random(9)
